@@ -1,6 +1,6 @@
 """Text that was decoded with another encoding than it was written in.
 
-A word is a maximal run of ASCII letters and digits and of characters outside ASCII that holds at least
+A word is a maximal run of ASCII letters and of characters outside ASCII that holds at least
 one of the latter; its runs are the stretches outside ASCII. Every distinct clean word and run of the
 corpus is garbled under all chains of encodings below; the forms are hash-joined with the distinct tokens
 of the corpus, and a match is accepted when the original is clearly the more frequent one or the form
@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from itertools import product
 
@@ -34,43 +35,45 @@ TWICE = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251"]
 
 #: Original at least this many times as frequent (in documents) as a form that might be a word of its own.
 RATIO = 5
-#: A character belongs to the clean alphabet when at least this share of the documents with non-ASCII words use it in words without damage.
+#: A character belongs to the clean alphabet when runs without damage use it in at least so many documents.
 MIN_ALPHABET_DOCS = 3
 BROADCAST_TOKENS = 200_000
 
-SPACES = "   -‏    ⁠　﻿"
-WORD = re.compile(rf"[A-Za-z0-9]*(?:[^\x00-\x7f{SPACES}]+[A-Za-z0-9]*)+")
+SPACES = "\u00a0  -‏ -  ⁠　﻿"
+EDGES = " ­​﻿"
+WORD = re.compile(rf"(?<![A-Za-z])[A-Za-z]*[^\x00-\x7f{SPACES}][^\x00-@\[-`{{-\x7f{SPACES}]*")
 RUN = re.compile(rf"[^\x00-\x7f{SPACES}]+")
 ENTITY = re.compile(r"&#(?:\d{2,7}|[xX][0-9a-fA-F]{2,6});")
 CONTROL = re.compile("[\x80-\x9f]")
 STRETCH = re.compile(r"[^\x00-\x7f](?:[^\x00-\x7f\n]| (?=[^\x00-\x7f]))*")
 
 
+def code_page(name: str) -> tuple[dict[int, int], dict[int, str]]:
+    """Code points to bytes and bytes to characters; in the Windows and ISO encodings undefined positions are the C1 controls, as lenient decoders have them."""
+    read = {}
+    for b in range(128, 256):
+        ch = bytes([b]).decode(name, "ignore") or (chr(b) if name.startswith(("cp125", "iso")) else "")
+        if ch:
+            read[b] = ch
+    write = {i: 0xFFFF for i in range(128, 256)}  # not in the encoding: fails on the way to bytes
+    write |= {ord(ch): b for b, ch in read.items()}
+    return write, {b: read.get(b, "\ufffd") for b in range(128, 256)}
+
+
+PAGES = {name: code_page(name) for name in dict.fromkeys([*WRONG_FOR_UTF8, *SINGLE_BYTE])}
+
+
 def encode(text: str, name: str) -> bytes | None:
-    """Bytes of ``text``; in the Windows and ISO encodings undefined positions are the C1 controls, as lenient decoders have them."""
+    if name == "utf-8":
+        return text.encode("utf-8", "replace")
     try:
-        return text.encode(name)
+        return text.translate(PAGES[name][0]).encode("latin-1")
     except UnicodeEncodeError:
-        if not (name.startswith("cp125") or name.startswith("iso")):
-            return None
-    out = bytearray()
-    for ch in text:
-        try:
-            out += ch.encode(name)
-        except UnicodeEncodeError:
-            if not "\x80" <= ch <= "\x9f":
-                return None
-            out.append(ord(ch))
-    return bytes(out)
+        return None
 
 
 def decode(data: bytes, name: str) -> str:
-    if name == "utf-8":
-        return data.decode("utf-8", "replace")
-    try:
-        return data.decode(name)
-    except UnicodeDecodeError:
-        return "".join(bytes([b]).decode(name, "ignore") or chr(b) for b in data)
+    return data.decode("utf-8", "replace") if name == "utf-8" else data.decode("latin-1").translate(PAGES[name][1])
 
 
 def all_chains() -> tuple[tuple[tuple[str, str], ...], ...]:
@@ -106,7 +109,7 @@ def forms(word: str, is_run: bool) -> dict[str, str]:
             continue
         name = "+".join(f"{a}>{b}" for a, b in chain)
         for f, how in ((form, name), (CONTROL.sub("", form), name + " without controls")):
-            f = f.strip(" ­ ")
+            f = f.strip(EDGES)
             if is_run and len(f) < 2:
                 continue
             if f and f != word and (RUN if is_run else WORD).fullmatch(f):
@@ -125,7 +128,7 @@ def strange(token: str) -> bool:
     scripts = {s for s in map(script, token) if s in ("LATIN", "GREEK", "CYRILLIC")}
     if len(scripts) > 1:
         return True
-    odd = [i for i, c in enumerate(token) if not c.isalnum() and c not in "’‘·­"]
+    odd = [i for i, c in enumerate(token) if not c.isalnum() and c not in "\u2019\u2018\u00b7"]
     if any(0 < i < len(token) - 1 and token[i - 1].isalpha() and token[i + 1].isalpha() for i in odd):
         return True
     return any(a.islower() and b.isupper() and (b > "\x7f" or a > "\x7f") for a, b in zip(token, token[1:]))
@@ -147,10 +150,21 @@ def restored_run(run: str) -> str | None:
                 best = now = back
                 break
         else:
-            return best
+            break
     return best
 
 
+def broken_run(run: str) -> bool:
+    """Whether a longer run is UTF-8 read in a wrong encoding of which some bytes are gone."""
+    for name in WRONG_FOR_UTF8 if len(run) >= 6 else ():
+        data = encode(run, name)
+        if data is not None:
+            back = data.decode("utf-8", "replace")
+            if back.count("\ufffd") * 3 <= len(back) < 0.8 * len(run):
+                return True
+    return False
+
+
 def from_utf16(stretch: str) -> str | None:
     """The mostly ASCII text whose bytes, taken in pairs, gave these characters."""
     if len(stretch) < 4:
@@ -187,7 +201,7 @@ def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd, back = [], []
         for t, run in zip(batch.column("token").to_pylist(), batch.column("is_run").to_pylist()):
             odd.append(strange(t))
-            back.append(restored_run(t) if run else None)
+            back.append((restored_run(t) or ("" if broken_run(t) else None)) if run else None)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odd, pa.bool_()), pa.array(back, pa.string())], names=[*batch.schema.names, "odd", "back"])
 
 
@@ -203,6 +217,25 @@ def garbled_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=["token", "is_run", "original", "chain", "original_df"])
 
 
+def is_weak(token: str, odd: bool, chain: str) -> bool:
+    """A single character that would be a word of its own says nothing alone."""
+    return len(token) == 1 and not odd and not chain.startswith("utf-8")
+
+
+def choose(entries: list[dict]) -> dict[str, str | None]:
+    """The original of each known token of one document; the chain that explains most of its tokens wins, and weak tokens need a second one of their chain."""
+    votes = Counter(c for e in entries for c in {o["chain"] for o in e["options"]})
+    known: dict[str, str | None] = {}
+    for e in entries:
+        best = max(e["options"], key=lambda o: (votes[o["chain"]], o["df"], o["original"] or ""))
+        if is_weak(e["token"], e["odd"], best["chain"]) and votes[best["chain"]] < 2:
+            continue
+        rivals = {o["original"] for o in e["options"] if votes[o["chain"]] == votes[best["chain"]]}
+        lost = best["original"] is None or ("\ufffd" in e["token"] and len(rivals) > 1)
+        known[("\n" if e["is_run"] else "") + e["token"]] = None if lost else best["original"]
+    return known
+
+
 def restore(text: str, known: dict[str, str | None]) -> tuple[str, int, int]:
     """The text with originals in place, the number of stretches put right and of those that could not be."""
     right, wrong = 0, 0
@@ -213,8 +246,9 @@ def restore(text: str, known: dict[str, str | None]) -> tuple[str, int, int]:
             new = known[m[0]]
         elif any("\n" + r in known for r in RUN.findall(m[0])):
             new = RUN.sub(lambda r: known.get("\n" + r[0]) or r[0], m[0])
+            new = None if new == m[0] else new
         else:
-            wrong += bool("�" in m[0] or CONTROL.search(m[0]))
+            wrong += bool("\ufffd" in m[0] or CONTROL.search(m[0]))
             return m[0]
         right, wrong = right + (new is not None), wrong + (new is None)
         return m[0] if new is None else new
@@ -233,9 +267,8 @@ def restore(text: str, known: dict[str, str | None]) -> tuple[str, int, int]:
 def substitute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs, texts, rights, wrongs = [], [], [], []
-        for doc, text, table in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "known"))):
-            known = {("\n" if e["is_run"] else "") + e["token"]: e["original"] for e in table or ()}
-            new, right, wrong = restore(text, known)
+        for doc, text, entries in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "known"))):
+            new, right, wrong = restore(text, choose(entries or []))
             if right or wrong:
                 docs.append(doc)
                 texts.append(new)
@@ -257,10 +290,11 @@ def garbled_documents(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = source.where((F.octet_length("text") > F.char_length("text")) | F.contains("text", F.lit("&#")))
     seen = rows.mapInArrow(tokens, "doc_id long, token string, is_run boolean")
     counted = seen.groupBy("token", "is_run").agg(F.count(F.lit(1)).alias("df"))
-    judged = cut(counted.mapInArrow(judge, "token string, is_run boolean, df long, odd boolean, back string"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    judged = cut(counted.repartition(parts).mapInArrow(judge, "token string, is_run boolean, df long, odd boolean, back string"))
     table = accepted(judged)
     small = table.count() <= BROADCAST_TOKENS
-    known = seen.join(F.broadcast(table) if small else table, ["token", "is_run"]).groupBy("doc_id").agg(F.collect_set(F.struct("token", "is_run", "original")).alias("known"))
+    known = seen.join(F.broadcast(table) if small else table, ["token", "is_run"]).groupBy("doc_id").agg(F.collect_list(F.struct("token", "is_run", "odd", "options")).alias("known"))
     # besides the documents with known tokens only those that show damage of their own go on to the last step
     marked = rows.withColumn("suspect", F.rlike("text", F.lit("[\u0080-\u009f�]")) | F.rlike("text", F.lit(r"[^\x00-\x7f](?:[^\x00-\x7f\n]| (?=[^\x00-\x7f])){3,}")))
     joined = marked.join(known, "doc_id", "left").where(F.col("suspect") | F.col("known").isNotNull()).select("doc_id", "text", "known")
@@ -268,25 +302,19 @@ def garbled_documents(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def accepted(judged: DataFrame) -> DataFrame:
-    """Tokens taken for garbled, with their original where it is certain, as (token, is_run, original)."""
-    clean = judged.where(~F.col("odd") & (F.col("back").isNull() | ~F.col("is_run")))
-    made = clean.select("token", "is_run", "df").mapInArrow(garbled_forms, "token string, is_run boolean, original string, chain string, original_df long")
+    """Tokens taken for garbled with what they may stand for, as (token, is_run, odd, options of (chain, original, df))."""
+    clean = judged.where(~F.col("odd") & F.col("back").isNull())
+    parts = int(judged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = clean.select("token", "is_run", "df").repartition(parts).mapInArrow(garbled_forms, "token string, is_run boolean, original string, chain string, original_df long")
     few = judged.count() <= BROADCAST_TOKENS
     here = judged.select("token", "is_run", "df", "odd")
     matches = made.join(F.broadcast(here) if few else here, ["token", "is_run"])
     enough = F.when(F.col("odd"), F.col("original_df") >= F.col("df")).otherwise(F.col("original_df") >= RATIO * F.col("df"))
-    lossy = F.contains("token", F.lit("�"))
-    w = Window.partitionBy("token", "is_run")
-    from_table = (
-        matches.where(enough).groupBy("token", "is_run").agg(
-            F.max_by("original", F.struct("original_df", "original")).alias("best"), F.count_distinct("original").alias("n")
-        ).select("token", "is_run", F.when(~lossy | (F.col("n") == 1), F.col("best")).alias("original"))
-    )
-    # the alphabet of clean runs: a restored run must consist of it
+    from_table = matches.where(enough).select("token", "is_run", "odd", "chain", "original", F.col("original_df").alias("df"))
+    # a restored run must consist of characters of clean runs
     letters = clean.where("is_run").select("df", F.explode(F.array_distinct(F.split("token", ""))).alias("ch")).groupBy("ch").agg(F.sum("df").alias("n")).where(F.col("n") >= MIN_ALPHABET_DOCS)
     own = judged.where(F.col("is_run") & F.col("back").isNotNull())
-    spelled = own.select("token", "back", F.explode(F.array_distinct(F.split("back", ""))).alias("ch")).where("ch != ''")
-    unknown = spelled.where(F.col("ch") > "\x7f").join(letters, "ch", "left_anti").select("token").distinct()
-    by_itself = own.join(unknown, "token", "left_anti").select("token", "is_run", F.col("back").alias("original"))
-    both = from_table.unionByName(by_itself)
-    return cut(both.groupBy("token", "is_run").agg(F.max("original").alias("original")))
+    spelled = own.select("token", F.explode(F.array_distinct(F.split("back", ""))).alias("ch")).where("ch > '\u007f'")
+    unknown = spelled.join(letters, "ch", "left_anti").select("token").distinct()
+    by_itself = own.join(unknown, "token", "left_anti").select("token", "is_run", "odd", F.lit("utf-8").alias("chain"), F.nullif("back", F.lit("")).alias("original"), F.lit(0).cast("long").alias("df"))
+    return cut(from_table.unionByName(by_itself).groupBy("token", "is_run", "odd").agg(F.collect_set(F.struct("chain", "original", "df")).alias("options")))
