@@ -40,7 +40,7 @@ def upsert_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 ON CONFLICT (owner, pk) DO UPDATE SET seq = excluded.seq, deleted = excluded.deleted, payload = excluded.payload WHERE excluded.seq > state.seq"""
             )
             con.unregister("incoming")
-    out = con.execute("SELECT owner, pk, seq, deleted, payload FROM state").to_arrow_table()
+    out = con.sql("SELECT owner, pk, seq, deleted, payload FROM state").to_arrow_table()
     con.close()
     yield from out.to_batches(max_chunksize=10_000)
 
@@ -104,11 +104,11 @@ def publish(df: DataFrame, root: str) -> str:
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(root).toUri(), conf)
     overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(fs.makeQualified(staged), fs.makeQualified(path(f"{root}/_current")), overwrite)
+    context.rename(fs.makeQualified(staged), fs.makeQualified(path(f"{root}/CURRENT")), overwrite)
     return f"{root}/{version}"
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
     """The version that ``publish`` made current last."""
-    version = spark.read.text(f"{root}/_current").first()[0]
+    version = spark.read.text(f"{root}/CURRENT").first()[0]
     return spark.read.parquet(f"{root}/{version}")
