@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from tidemill.llm.garbled import garbled_documents
 from tidemill.llm.leak import leaked_items
 from tidemill.llm.leximin import leximin_top
+from tidemill.llm.names import entity_pairs, name_entities
 from tidemill.llm.similar import mutual_pairs, similar_vectors
 from tidemill.llm.split import split_oversized
 from tidemill.llm.tokens import token_ids, vocabulary_path
-from tidemill.session import table
+from tidemill.session import cut, table
 
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZERS = os.environ.get("TIDEMILL_TOKENIZERS", "/opt/tokenizers")
@@ -44,6 +45,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("query_id", "doc_id")
 
 
+def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_entities(table(spark, sf_dir, "graph_nodes"), "id", "workspace_id", "name", "normalized_name")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_pairs(cut(p5_entities(spark, sf_dir)))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary_path(folder=TOKENIZERS))
 
@@ -67,6 +76,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": p2_found,
         "p2_pieces": pieces,
         "p4_found": p4_found,
+        "p5_entities": p5_entities,
+        "p5_found": p5_found,
         "p7_ids": p7_ids,
         "p8_found": p8_found,
         "p8_leaks": leaks,
