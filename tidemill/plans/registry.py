@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemill.plans import general, relational
+from tidemill.plans import general, relational, search
 
-MODULES = [relational, general]
+MODULES = [relational, search, general]
 
 
 def queries() -> dict:
