@@ -37,7 +37,8 @@ TWICE = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251"]
 RATIO = 5
 #: A character belongs to the clean alphabet when runs without damage use it in at least so many documents.
 MIN_ALPHABET_DOCS = 3
-BROADCAST_TOKENS = 200_000
+#: Distinct tokens (some hundred bytes each) up to which a token table is broadcast.
+BROADCAST_TOKENS = 60_000
 
 SPACES = "\u00a0  -‏ -  ⁠　﻿"
 EDGES = " ­​﻿"
@@ -87,6 +88,8 @@ def all_chains() -> tuple[tuple[tuple[str, str], ...], ...]:
 
 
 CHAINS = all_chains()
+#: Added to the number of a chain whose C1 controls were dropped afterwards; OWN marks a run restored by itself.
+LOST, OWN = 1000, -1
 
 
 def garble(word: str, chain: tuple[tuple[str, str], ...]) -> str | None:
@@ -98,22 +101,22 @@ def garble(word: str, chain: tuple[tuple[str, str], ...]) -> str | None:
     return word
 
 
-def forms(word: str, is_run: bool) -> dict[str, str]:
-    """Garbled form to chain, the earliest chain first; also with the controls lost, as many tools drop them."""
-    out: dict[str, str] = {}
-    for chain in CHAINS:
+def forms(word: str, is_run: bool) -> dict[str, list[int]]:
+    """Garbled form to the chains that give it, by number; plus LOST with the controls dropped, as many tools do."""
+    out: dict[str, list[int]] = {}
+    for number, chain in enumerate(CHAINS):
         if is_run and chain[0][0] != "utf-8":
             continue  # one character for one: only whole words tell
         form = garble(word, chain)
         if form is None or form == word:
             continue
-        name = "+".join(f"{a}>{b}" for a, b in chain)
-        for f, how in ((form, name), (CONTROL.sub("", form), name + " without controls")):
+        bare = CONTROL.sub("", form)
+        for f, how in ((form, number), (bare, number + LOST)) if bare != form else ((form, number),):
             f = f.strip(EDGES)
             if is_run and len(f) < 2:
                 continue
             if f and f != word and (RUN if is_run else WORD).fullmatch(f):
-                out.setdefault(f, how)
+                out.setdefault(f, []).append(how)
     return out
 
 
@@ -201,7 +204,9 @@ def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd, back = [], []
         for t, run in zip(batch.column("token").to_pylist(), batch.column("is_run").to_pylist()):
             odd.append(strange(t))
-            back.append((restored_run(t) or ("" if broken_run(t) else None)) if run else None)
+            runs = [t] if run else RUN.findall(t)
+            found = [restored_run(r) or ("" if broken_run(r) else None) for r in runs]
+            back.append(next((f for f in found if f is not None), None))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odd, pa.bool_()), pa.array(back, pa.string())], names=[*batch.schema.names, "odd", "back"])
 
 
@@ -209,28 +214,30 @@ def garbled_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for at in range(0, len(batch), 256):
             rows = [
-                (form, run, word, chain, df)
+                (form, run, word, numbers, df)
                 for word, run, df in zip(*(batch.column(c).slice(at, 256).to_pylist() for c in ("token", "is_run", "df")))
-                for form, chain in forms(word, run).items()
+                for form, numbers in forms(word, run).items()
             ]
-            kinds = (pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=["token", "is_run", "original", "chain", "original_df"])
+            kinds = (pa.string(), pa.bool_(), pa.string(), pa.list_(pa.int16()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=["token", "is_run", "original", "chains", "df"])
 
 
-def is_weak(token: str, odd: bool, chain: str) -> bool:
+def is_weak(token: str, odd: bool, numbers: list[int]) -> bool:
     """A single character that would be a word of its own says nothing alone."""
-    return len(token) == 1 and not odd and not chain.startswith("utf-8")
+    return len(token) == 1 and not odd and all(n != OWN and CHAINS[n % LOST][0][0] != "utf-8" for n in numbers)
 
 
 def choose(entries: list[dict]) -> dict[str, str | None]:
     """The original of each known token of one document; the chain that explains most of its tokens wins, and weak tokens need a second one of their chain."""
-    votes = Counter(c for e in entries for c in {o["chain"] for o in e["options"]})
+    votes = Counter(n for e in entries for n in {n for o in e["options"] for n in o["chains"]})
     known: dict[str, str | None] = {}
     for e in entries:
-        best = max(e["options"], key=lambda o: (votes[o["chain"]], o["df"], o["original"] or ""))
-        if is_weak(e["token"], e["odd"], best["chain"]) and votes[best["chain"]] < 2:
+        support = [max(votes[n] for n in o["chains"]) for o in e["options"]]
+        most = max(support)
+        best = max((o for o, v in zip(e["options"], support) if v == most), key=lambda o: (o["df"], o["original"] or ""))
+        if most < 2 and is_weak(e["token"], e["odd"], best["chains"]):
             continue
-        rivals = {o["original"] for o in e["options"] if votes[o["chain"]] == votes[best["chain"]]}
+        rivals = {o["original"] for o, v in zip(e["options"], support) if v == most}
         lost = best["original"] is None or ("\ufffd" in e["token"] and len(rivals) > 1)
         known[("\n" if e["is_run"] else "") + e["token"]] = None if lost else best["original"]
     return known
@@ -296,25 +303,25 @@ def garbled_documents(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     small = table.count() <= BROADCAST_TOKENS
     known = seen.join(F.broadcast(table) if small else table, ["token", "is_run"]).groupBy("doc_id").agg(F.collect_list(F.struct("token", "is_run", "odd", "options")).alias("known"))
     # besides the documents with known tokens only those that show damage of their own go on to the last step
-    marked = rows.withColumn("suspect", F.rlike("text", F.lit("[\u0080-\u009f�]")) | F.rlike("text", F.lit(r"[^\x00-\x7f](?:[^\x00-\x7f\n]| (?=[^\x00-\x7f])){3,}")))
+    marked = rows.withColumn("suspect", F.rlike("text", F.lit("[\u0080-\u009f�]")) | F.rlike("text", F.lit(r"[^\x00-\x7f─-╿]{4}")))
     joined = marked.join(known, "doc_id", "left").where(F.col("suspect") | F.col("known").isNotNull()).select("doc_id", "text", "known")
     return joined.mapInArrow(substitute, "doc_id long, restored_text string, n_restored int, n_lost int")
 
 
 def accepted(judged: DataFrame) -> DataFrame:
-    """Tokens taken for garbled with what they may stand for, as (token, is_run, odd, options of (chain, original, df))."""
+    """Tokens taken for garbled with what they may stand for, as (token, is_run, odd, options of (original, df, chains))."""
     clean = judged.where(~F.col("odd") & F.col("back").isNull())
     parts = int(judged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    made = clean.select("token", "is_run", "df").repartition(parts).mapInArrow(garbled_forms, "token string, is_run boolean, original string, chain string, original_df long")
+    made = clean.select("token", "is_run", "df").repartition(parts).mapInArrow(garbled_forms, "token string, is_run boolean, original string, chains array<short>, df long")
     few = judged.count() <= BROADCAST_TOKENS
-    here = judged.select("token", "is_run", "df", "odd")
+    here = judged.select("token", "is_run", F.col("df").alias("own_df"), "odd")
     matches = made.join(F.broadcast(here) if few else here, ["token", "is_run"])
-    enough = F.when(F.col("odd"), F.col("original_df") >= F.col("df")).otherwise(F.col("original_df") >= RATIO * F.col("df"))
-    from_table = matches.where(enough).select("token", "is_run", "odd", "chain", "original", F.col("original_df").alias("df"))
+    enough = F.when(F.col("odd"), F.col("df") >= F.col("own_df")).otherwise(F.col("df") >= RATIO * F.col("own_df"))
+    from_table = matches.where(enough).select("token", "is_run", "odd", "original", "df", "chains")
     # a restored run must consist of characters of clean runs
     letters = clean.where("is_run").select("df", F.explode(F.array_distinct(F.split("token", ""))).alias("ch")).groupBy("ch").agg(F.sum("df").alias("n")).where(F.col("n") >= MIN_ALPHABET_DOCS)
     own = judged.where(F.col("is_run") & F.col("back").isNotNull())
     spelled = own.select("token", F.explode(F.array_distinct(F.split("back", ""))).alias("ch")).where("ch > '\u007f'")
     unknown = spelled.join(letters, "ch", "left_anti").select("token").distinct()
-    by_itself = own.join(unknown, "token", "left_anti").select("token", "is_run", "odd", F.lit("utf-8").alias("chain"), F.nullif("back", F.lit("")).alias("original"), F.lit(0).cast("long").alias("df"))
-    return cut(from_table.unionByName(by_itself).groupBy("token", "is_run", "odd").agg(F.collect_set(F.struct("chain", "original", "df")).alias("options")))
+    by_itself = own.join(unknown, "token", "left_anti").select("token", "is_run", "odd", F.nullif("back", F.lit("")).alias("original"), F.lit(0).cast("long").alias("df"), F.array(F.lit(OWN).cast("short")).alias("chains"))
+    return cut(from_table.unionByName(by_itself).groupBy("token", "is_run", "odd").agg(F.collect_list(F.struct("original", "df", "chains")).alias("options")))
