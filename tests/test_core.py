@@ -409,3 +409,16 @@ def test_change_feed(spark, tmp_path):
     now = {(r.owner, r.pk): r.payload for r in read_current(spark, root).where("not deleted").collect()}
     assert now[(1, "b")] == "back" and now[(1, "a")] == "v5" and len(now) == 6
     assert apply_changes(df.limit(0), "v", "k", "o", "j", "body").count() == 0
+
+
+def test_sql_functions(spark):
+    from tidemill.functions.sql_functions import register
+
+    assert len(register(spark)) == 6
+    r = spark.sql(
+        "SELECT l2_distance(array(0f, 0f), array(3f, 4f)) AS d, inner_product(array(1f, 2f), array(3f, 4f)) AS p, label_overlap(array(1s, null), array(3s)) AS o, sbq_bytes_per_vector(768, 1) AS b, "
+        "chunk_text('hello world', 'fixed', 5, 0) AS c, size(extract_entities('Ada Lovelace met Charles Babbage')) AS n"
+    ).first()
+    assert (r.d, r.p, r.o, r.b, r.c, r.n) == (5.0, 11.0, False, 96, ["hello", " worl", "d"], 2)
+    with pytest.raises(Exception, match="dimensions"):
+        spark.sql("SELECT l2_distance(array(0f), array(3f, 4f))").first()

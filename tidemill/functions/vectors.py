@@ -47,7 +47,7 @@ def cosine_distance(a: str | Column, b: str | Column) -> Column:
     a, b = col(a), col(b)
     dot, na, nb = inner_product(a, b), inner_product(a, a), inner_product(b, b)
     cos = F.try_divide(dot, F.sqrt(na) * F.sqrt(nb))
-    return F.when(dot.isNotNull(), F.coalesce(1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)), F.lit(float("nan"))))
+    return F.when(cos.isNotNull(), 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))).when(dot.isNotNull(), F.lit(float("nan")))
 
 
 def distance(a: str | Column, b: str | Column, metric: str = "l2") -> Column:

@@ -84,14 +84,16 @@ def knn_batch(df: DataFrame, id_col: str, vec_col: str, queries: list[list[float
     """
     if k <= 0:
         raise InvalidParameter("k must be positive")
-    dims = len(queries[0]) if queries else 1
+    if not queries:
+        return df.sparkSession.createDataFrame([], "query_idx int, id long, distance double")
+    dims = len(queries[0])
     if any(len(q) != dims for q in queries):
         raise InvalidParameter("queries of different dimensions")
     kind = metric_name(metric)
     rows = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
     rows = rows.select("id", F.when(F.size("v") == dims, F.col("v")).otherwise(F.raise_error(F.lit("different vector dimensions")).cast("array<float>")).alias("v"))
     parts = []
-    for at in range(0, max(len(queries), 1), QUERY_BLOCK):
+    for at in range(0, len(queries), QUERY_BLOCK):
         q = np.array(queries[at : at + QUERY_BLOCK], np.float64).reshape(-1, dims)
         parts.append(rows.mapInArrow(batch_scan(q, k, kind, dims), "query_idx int, id long, distance double").withColumn("query_idx", F.col("query_idx") + at))
     out = parts[0]
