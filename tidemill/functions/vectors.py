@@ -6,6 +6,8 @@ precision. A zero vector has cosine distance NaN, which sorts last. Distances of
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,12 +76,8 @@ def valid_vector(v: str | Column, dims: int | None = None) -> Column:
 
 def vector_bytes(v: str | Column) -> Column:
     """Little-endian single-precision bytes of a vector."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def pack(s: pd.Series) -> pd.Series:
-        import numpy as np
-
         return s.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
 
     return pack(col(v))
