@@ -85,7 +85,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+USABLE = "SELECT chunk_id AS id, embedding::DOUBLE[] AS e FROM edocs_chunks WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+NEAREST = f"""WITH u AS ({USABLE}), s AS (SELECT a.id AS x, b.id AS y, round(list_cosine_similarity(a.e, b.e), 9) AS c FROM u a, u b WHERE a.id <> b.id),
+r AS (SELECT x, y, c FROM s QUALIFY row_number() OVER (PARTITION BY x ORDER BY c DESC, y) <= 5)
+SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM r WHERE c >= 0.9"""
+LEXIMIN = r"""WITH d AS (SELECT DISTINCT doc_id, text_tsv, embedding FROM hybw), n AS (SELECT count(*) AS n FROM d),
+lex AS (SELECT doc_id, regexp_extract(t, '^.([^'']+)', 1) AS word, CASE WHEN t LIKE '%:%' THEN len(string_split(split_part(t, ':', 2), ',')) ELSE 1 END AS places FROM (SELECT doc_id, unnest(string_split(text_tsv, ' ')) AS t FROM d WHERE text_tsv <> '')),
+want AS (SELECT DISTINCT query_id, replace(trim(w), chr(39), '') AS word FROM (SELECT query_id, unnest(string_split(query_tsq, '&')) AS w FROM hybq)), need AS (SELECT query_id, count(*) AS k FROM want GROUP BY 1),
+hits AS (SELECT query_id, doc_id, sum(places) AS s, count(DISTINCT word) AS k FROM want JOIN lex USING (word) GROUP BY 1, 2), txt AS (SELECT query_id, doc_id, s FROM hits JOIN need USING (query_id, k)),
+vec AS (SELECT query_id, doc_id, list_cosine_similarity(embedding::DOUBLE[], query_vector::DOUBLE[])::FLOAT AS s FROM hybq, d WHERE embedding IS NOT NULL),
+tp AS (SELECT query_id, doc_id, 1 - (rank() OVER (PARTITION BY query_id ORDER BY s DESC) - 1) / n AS p FROM txt, n), vp AS (SELECT query_id, doc_id, 1 - (rank() OVER (PARTITION BY query_id ORDER BY s DESC) - 1) / n AS p FROM vec, n),
+both_scores AS (SELECT coalesce(tp.query_id, vp.query_id) AS query_id, coalesce(tp.doc_id, vp.doc_id) AS doc_id, coalesce(tp.p, 0) AS a, coalesce(vp.p, 0) AS b FROM tp FULL JOIN vp ON tp.query_id = vp.query_id AND tp.doc_id = vp.doc_id)
+SELECT query_id, doc_id FROM both_scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY least(a, b) DESC, greatest(a, b) DESC, doc_id) <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": NEAREST,
         "p2_found": "SELECT c.chunk_id FROM edocs_chunks c JOIN vectorizer v ON v.id = c.vectorizer_id WHERE length(c.chunk_text) > v.chunk_size",
+        "p4_found": LEXIMIN,
     }
