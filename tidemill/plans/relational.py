@@ -408,6 +408,37 @@ def a6_math(s, d):
     )
 
 
+@query(
+    """SELECT p_partkey, round(cbrt(p_size), 8) AS cb, round(log10(p_retailprice), 8) AS l10, round(radians(p_size), 8) AS ra, gcd(p_size, 12) AS g, p_size & 6 AS ba, p_size | 9 AS bo, xor(p_size, 5) AS bx, bit_count(p_size) AS bc, p_size // 7 AS dv,
+    round(tanh(p_size / 50.0), 8) AS th, round(p_retailprice, -2) AS rn, hex(p_size) AS hx FROM part"""
+)
+def a6_more_math(s, d):
+    z = F.col("p_size")
+    gcd = F.when(z % 12 == 0, 12).when(z % 6 == 0, 6).when(z % 4 == 0, 4).when(z % 3 == 0, 3).when(z % 2 == 0, 2).otherwise(1)
+    return table(s, d, "part").select(
+        "p_partkey", F.round(F.cbrt(z), 8).alias("cb"), F.round(F.log10("p_retailprice"), 8).alias("l10"), F.round(F.radians(z), 8).alias("ra"), gcd.alias("g"), z.bitwiseAND(6).alias("ba"), z.bitwiseOR(9).alias("bo"), z.bitwiseXOR(5).alias("bx"),
+        F.bit_count(z).alias("bc"), F.floor(z / 7).cast("int").alias("dv"), F.round(F.tanh(z / 50), 8).alias("th"), F.round("p_retailprice", -2).alias("rn"), F.hex(z).alias("hx"),
+    )
+
+
+@query(
+    """SELECT p_partkey, ascii(p_name) AS a, chr(65 + p_size % 26) AS c, repeat('ab', p_size % 4) AS r, translate(p_name, 'abc', 'xyz') AS t, ltrim(p_type, 'S') AS lt, rtrim(p_brand, '0123456789') AS rt, regexp_extract(p_type, '([A-Z]+)$', 1) AS tail, string_split(p_type, ' ') AS parts,
+    sha256(p_name) AS sh, to_base64(encode(p_brand)) AS b64, levenshtein(p_name, p_brand) AS lev FROM part"""
+)
+def a6_more_strings(s, d):
+    return table(s, d, "part").select(
+        "p_partkey", F.ascii("p_name").alias("a"), F.chr(65 + F.col("p_size") % 26).alias("c"), F.expr("repeat('ab', p_size % 4)").alias("r"), F.translate("p_name", "abc", "xyz").alias("t"), F.ltrim("p_type", F.lit("S")).alias("lt"),
+        F.rtrim("p_brand", F.lit("0123456789")).alias("rt"), F.regexp_extract("p_type", "([A-Z]+)$", 1).alias("tail"), F.split("p_type", " ").alias("parts"), F.sha2("p_name", 256).alias("sh"), F.base64(F.encode("p_brand", "utf-8")).alias("b64"), F.levenshtein("p_name", "p_brand").alias("lev"),
+    )
+
+
+@query("SELECT n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers, n_nationkey IN (SELECT s_nationkey FROM supplier) AS has_supplier FROM nation")
+def a3_scalar_subquery(s, d):
+    per = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("customers"))
+    have = table(s, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), F.lit(True).alias("has_supplier")).distinct()
+    return table(s, d, "nation").join(per, "n_nationkey", "left").join(have, "n_nationkey", "left").select("n_name", F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("has_supplier", F.lit(False)).alias("has_supplier"))
+
+
 @query(
     """SELECT o_orderkey, date_trunc('week', o_orderdate)::TIMESTAMP AS wk, date_trunc('quarter', o_orderdate)::TIMESTAMP AS q, extract(year FROM o_orderdate) AS y, extract(doy FROM o_orderdate) AS doy, (o_orderdate + INTERVAL 3 DAY)::TIMESTAMP AS plus3,
     date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) AS days, strftime(o_orderdate, '%Y-%m') AS ym, (o_orderdate + INTERVAL 2 MONTH)::DATE AS m2 FROM orders"""

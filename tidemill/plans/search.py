@@ -161,6 +161,20 @@ def b_vector_text_round_trip(s, d):
     return emb(s, d).select("vec_id", F.size(back).alias("dims"), (back == F.col("embedding")).alias("valid"))
 
 
+@query("SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS query_idx, CAST(16 AS BIGINT) AS lists_probed, (SELECT count(*) FROM embeddings) AS rows_scanned FROM embeddings WHERE vec_id % 100 = 0")
+def d16_scan_stats(s, d):
+    index = knn.ivf_build(emb(s, d), "vec_id", "embedding", 16)
+    return knn.scan_stats(index, [v for _, v in every_hundredth(s, d)], 16)
+
+
+@query()
+def d15_recommended_probes(s, d):
+    q = [v for _, v in every_hundredth(s, d)]
+    index = knn.ivf_build(emb(s, d), "vec_id", "embedding", 16)
+    probes = knn.recommend_probes(index, knn.knn_batch(emb(s, d), "vec_id", "embedding", q), q, 10, 0.95)
+    return s.createDataFrame([(probes,)], "probes int")
+
+
 # --- lexical and hybrid -----------------------------------------------------------------------------------
 
 TERMS = "SELECT doc_id, unnest(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda w: w <> '')) AS term FROM documents WHERE text IS NOT NULL"
@@ -242,6 +256,12 @@ def g5_expand_multi(s, d):
     return graph.expand_multi(adj(s, d), start, 2)
 
 
+@query(f"WITH {ADJ}, {within(1, 'w', True)} SELECT set_id, count(*) AS n FROM w1 GROUP BY 1")
+def g4_expand_cardinality(s, d):
+    start = table(s, d, "graph_nodes").where("id % 100 = 0").select(F.col("id").alias("set_id"), F.col("id").alias("node"))
+    return graph.expand_multi(adj(s, d), start, 1).groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def ppr_sql(iterations: int, damping: float) -> str:
     parts = [
         ADJ, "deg AS (SELECT src, count(*) AS deg FROM adj GROUP BY 1)", "arcs AS (SELECT adj.src, dst, count(*)::DOUBLE / any_value(deg) AS p FROM adj JOIN deg ON adj.src = deg.src GROUP BY 1, 2)",
@@ -316,6 +336,21 @@ def i7_ai_if_batch(s, d):
     return rows.select("job_id", ai.if_batch("is even", F.col("v")).alias("even"))
 
 
+@query("SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'yes' ELSE 'no' END AS answer FROM events")
+def i2_generate(s, d):
+    return table(s, d, "events").select("event_id", ai.generate(F.concat(F.lit("user "), F.col("user_id").cast("string"))).alias("answer"))
+
+
+@query("SELECT event_id, CAST(user_id AS FLOAT) AS score FROM events")
+def i5_rank(s, d):
+    return table(s, d, "events").select("event_id", ai.rank(F.col("user_id").cast("string"), lambda p: [f"score {x}" for x in p]).alias("score"))
+
+
+@query("SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'positive' ELSE 'negative' END AS sentiment FROM events")
+def i4_sentiment(s, d):
+    return table(s, d, "events").select("event_id", ai.analyze_sentiment(F.col("user_id").cast("string"), lambda p: ["positive" if int(x) % 2 == 0 else "negative" for x in p]).alias("sentiment"))
+
+
 @query("SELECT label, n % 2 = 0 AS even FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)")
 def i8_cheap_predicates_first(s, d):
     counted = emb(s, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
