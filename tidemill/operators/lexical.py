@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.semantics import InvalidParameter
 from tidemill.operators.change_feed import publish, read_current
 from tidemill.operators.stemmer import stem
+from tidemill.session import cut
 
 K1, B = 1.2, 0.75
 MAX_TOKEN_BYTES = 40
@@ -75,6 +76,20 @@ def score(postings_df: DataFrame, lengths: DataFrame, terms: list[str], k: int)
     return full.groupBy(F.col("doc_id").alias("id")).agg(F.sum(one).alias("score")).orderBy(F.desc("score"), F.asc("id")).limit(k)
 
 
+def bm25_scan(df: DataFrame, id_col: str, text_col: str, query: str, k: int, stemmed: bool = True) -> DataFrame:
+    """The same ranking without an index: one pass over the texts keeps each length and the query words' counts, nothing else."""
+    if k <= 0:
+        raise InvalidParameter("k must be positive")
+    wanted = analyze(sanitize(query)) if stemmed else sanitize(query).split()
+    words = sorted(set(wanted))
+    docs = df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
+    terms = docs.select("doc_id", (analyzed(F.col("t")) if stemmed else plain_terms(F.col("t"))).alias("terms"))
+    held = F.filter("terms", lambda t: t.isin(words)) if words else F.array().cast("array<string>")
+    seen = cut(terms.select("doc_id", F.size("terms").alias("len"), held.alias("held")))
+    hits = seen.select("doc_id", F.explode("held").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")).select("term", "doc_id", "tf")
+    return score(hits, seen.select("doc_id", "len"), wanted, k)
+
+
 def bm25_build(df: DataFrame, id_col: str, text_col: str, folder: str, stemmed: bool = True) -> int:
     """(Re)build an index under ``folder``; returns the documents indexed. Readers see the old index until the new one is complete."""
     p, lengths = postings(df, id_col, text_col, stemmed)

@@ -55,3 +55,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory; Catalyst prunes columns and pushes filters into this scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scanned table for work that is heavy a row: fewer partitions than cores (few files) are dealt out to all cores.
+
+    For plain scans only, whose partitions are known without running anything. With many files nothing is moved.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
