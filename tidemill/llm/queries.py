@@ -15,7 +15,7 @@ from tidemill.llm.names import entity_pairs, name_entities
 from tidemill.llm.similar import mutual_pairs, similar_vectors
 from tidemill.llm.split import split_oversized
 from tidemill.llm.tokens import token_ids, vocabulary_path
-from tidemill.session import cut, table
+from tidemill.session import cut, spread, table
 
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZERS = os.environ.get("TIDEMILL_TOKENIZERS", "/opt/tokenizers")
@@ -54,11 +54,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_ids(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary_path(folder=TOKENIZERS))
+    return token_ids(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", vocabulary_path(folder=TOKENIZERS))
 
 
 def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", ["item_text", "answer"])
+    return leaked_items(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", ["item_text", "answer"])
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
