@@ -9,6 +9,7 @@ are stitched by one small aggregation.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,4 +86,4 @@ def endpoint_totals(edges: DataFrame, src: str, dst: str, weight: str, partition
 
 def hot_nodes(totals: DataFrame, rows: int, share: float = 0.02) -> DataFrame:
     """Nodes of ``totals`` that occur in at least ``share`` of ``rows`` rows."""
-    return totals.where(F.col("n_edges") >= F.lit(share) * F.lit(rows))
+    return totals.where(F.col("n_edges") >= max(1, math.ceil(round(share * rows, 6))))

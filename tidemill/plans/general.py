@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators.change_feed import apply_changes, publish, read_current
-from tidemill.operators.hot_keys import endpoint_totals
+from tidemill.operators.hot_keys import endpoint_totals, hot_nodes
 from tidemill.session import scratch_path, table
 
 
@@ -19,8 +18,7 @@ def p3_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes in at least 2 percent of all rows."""
-    least = math.ceil(table(spark, sf_dir, "graph_edges").count() * 2 / 100)
-    return p3_totals(spark, sf_dir).where(F.col("n_edges") >= max(least, 1)).select("node_id")
+    return hot_nodes(p3_totals(spark, sf_dir), table(spark, sf_dir, "graph_edges").count(), 0.02).select("node_id")
 
 
 def p6_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
