@@ -61,3 +61,8 @@ def test_long_words_take_linear_time(text):
     from tidemill.llm.garbled import WORD
 
     assert sum(len(w) for w in WORD.findall(text)) == len(text)
+
+
+def test_garbled_forms_may_outnumber_the_clean_words(spark):
+    out = garbled_documents(corpus(spark, [garbled(CLEAN[0], "cp1252", "cp850")] * 60), "doc_id", "text")
+    assert {r.doc_id for r in out.collect()} == set(range(1000, 1060))

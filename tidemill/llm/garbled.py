@@ -316,7 +316,7 @@ def accepted(judged: DataFrame) -> DataFrame:
     few = judged.count() <= BROADCAST_TOKENS
     here = judged.select("token", "is_run", F.col("df").alias("own_df"), "odd")
     matches = made.join(F.broadcast(here) if few else here, ["token", "is_run"])
-    enough = F.when(F.col("odd"), F.col("df") >= F.col("own_df")).otherwise(F.col("df") >= RATIO * F.col("own_df"))
+    enough = F.col("odd") | (F.col("df") >= RATIO * F.col("own_df"))  # a strange token is no word, however frequent
     from_table = matches.where(enough).select("token", "is_run", "odd", "original", "df", "chains")
     # a restored run must consist of characters of clean runs
     letters = clean.where("is_run").select("df", F.explode(F.array_distinct(F.split("token", ""))).alias("ch")).groupBy("ch").agg(F.sum("df").alias("n")).where(F.col("n") >= MIN_ALPHABET_DOCS)
