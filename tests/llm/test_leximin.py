@@ -1,6 +1,7 @@
 import numpy as np
+import pyarrow as pa
 
-from tidemill.llm.leximin import leximin_top, lexeme_counts, skyband
+from tidemill.llm.leximin import Block, first_pass, leximin_top, lexeme_counts, skyband
 
 DOCS = "doc_id string, text_tsv string, embedding array<float>, updated_at int, q long, cos string"
 QUERIES = "query_id long, query_tsq string, query_vector array<float>, extra int"
@@ -74,3 +75,10 @@ def test_edge_rows(spark):
     got = run(spark, docs, [(1, "'x'", [1.0, 0.0]), (1, "'x'", [1.0, 0.0]), (None, "'x'", None), (2, None, None), (3, "", [0.0, 0.0])])
     assert got == {1: ["a", "b"]}
     assert run(spark, [], [(1, "'x'", [1.0, 0.0])]) == {} and run(spark, docs, []) == {}
+
+
+def test_copies_of_an_embedding_are_cut_by_id():
+    names = [f"d{i:04}" for i in reversed(range(3000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(names), pa.nulls(3000, pa.string()), pa.array([[1.0, 0.5]] * 3000, pa.list_(pa.float32()))], names=["doc_id", "tsv", "vector"])
+    kept = next(first_pass(Block([(1, None, [1.0, 0.0])], 2), 3)(iter([batch])))
+    assert sorted(kept.column("doc_id").to_pylist()) == ["d0000", "d0001", "d0002"]

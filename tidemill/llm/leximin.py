@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,8 +77,6 @@ class Block:
 
     def cosines(self, column: pa.Array) -> np.ndarray:
         """Documents by queries; NaN where either has no usable vector."""
-        import pyarrow.compute as pc
-
         ok = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(column), self.dims), False))
         x = np.full((len(column), self.dims), np.nan, np.float64)
         x[ok] = column.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, self.dims)
@@ -101,11 +100,22 @@ def skyband(text: np.ndarray, cos: np.ndarray, top: int) -> np.ndarray:
 KINDS = "q long, doc_id string, text long, cos float, n long"
 
 
+def first_best(cos: np.ndarray, c: int) -> np.ndarray:
+    """Row numbers, ascending, of the ``c`` highest of each column; earlier rows win ties."""
+    part = np.argpartition(-cos, c - 1, axis=0)[:c]
+    cth = np.take_along_axis(cos, part, 0).min(axis=0)
+    tied = np.flatnonzero(((cos >= cth).sum(axis=0) > c) & (cth > -1.5))
+    if len(tied):
+        part[:, tied] = np.argsort(-cos[:, tied], axis=0, kind="stable")[:c]
+    return np.sort(part, axis=0)
+
+
 def first_pass(block: Block, top: int):
     """Rows with a doc_id are candidates; rows without one say how many documents of this batch have the text score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.take(pc.sort_indices(batch.column("doc_id")))  # so that of equal cosines the smaller ids are kept
             names = np.array(batch.column("doc_id").to_pylist(), dtype=object)
             out: list[tuple] = []
             d, q, s = block.text_scores(batch.column("tsv").to_pylist())
@@ -123,13 +133,13 @@ def first_pass(block: Block, top: int):
                 cos[d[here] - a, q[here]] = np.nan  # those with both scores are looked at together below
                 cos[np.isnan(cos)] = -2
                 c = min(top, len(cos))
-                part = np.argpartition(-cos, c - 1, axis=0)[:c]
+                part = first_best(cos, c)
                 best_d.append(part + a)
                 best_c.append(np.take_along_axis(cos, part, 0))
             if best_d:
                 every_d, every_c = np.concatenate(best_d), np.concatenate(best_c)
                 c = min(top, len(every_d))
-                part = np.argpartition(-every_c, c - 1, axis=0)[:c]
+                part = first_best(every_c, c)
                 for col in range(every_d.shape[1]):
                     for r in part[:, col]:
                         if every_c[r, col] > -1.5:
