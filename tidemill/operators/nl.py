@@ -42,13 +42,42 @@ def check_static(sql: str) -> str:
     return text
 
 
+#: Leaves of an analysed plan that hold no stored data.
+HARMLESS = {"OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "UnionLoopRef"}
+
+
 def relations_of(spark: SparkSession, sql: str) -> set[str]:
-    """Names of all relations of the parsed plan, without those the statement defines itself."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    text = plan.toString()
-    names = {n.strip().strip("`").split(".")[-1].lower() for n in re.findall(r"'UnresolvedRelation \[([^\]]*)\]", text) for n in [n.replace(", ", ".")]}
-    own = {n.strip().lower() for m in re.findall(r"CTE \[([^\]]*)\]", text) for n in m.split(",")}
-    return names - own
+    """Full identifiers of all stored relations a statement reads, as the analyser resolves them.
+
+    The analyser gives each name its meaning scope by scope, so a common table expression hides a relation
+    only where it is visible. A view stands for itself; data read without a name (files by path) is an error.
+    """
+    state = spark._jsparkSession.sessionState()
+    try:
+        plan = state.executePlan(state.sqlParser().parsePlan(sql), spark._jvm.org.apache.spark.sql.execution.CommandExecutionMode.SKIP()).analyzed()
+    except Exception as e:
+        raise InvalidParameter(f"the statement cannot be planned: {str(e).splitlines()[0]}") from e
+    names: set[str] = set()
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        kind = node.nodeName()
+        if kind == "View":
+            names.add(("temporary view " if node.isTempView() else "") + node.desc().identifier().unquotedString().lower())
+            continue
+        inner = [node.children(), node.subqueries()]
+        todo += [seq.apply(i) for seq in inner for i in range(seq.size())]
+        if node.children().size() == 0 and kind not in HARMLESS:
+            table = getattr(node, "catalogTable", None) or getattr(node, "tableMeta", None)
+            held = table() if table is not None else None
+            if held is not None and held.getClass().getSimpleName() == "Some$":
+                held = held.get()
+            try:
+                found = held.get() if held.getClass().getSimpleName() == "Some" else held
+                names.add(found.identifier().unquotedString().lower())
+            except Exception as e:
+                raise InvalidParameter(f"only named relations can be read, not {node.simpleString(5)}") from e
+    return names
 
 
 def nl_to_sql(spark: SparkSession, question: str, allowed: list[str], model: Callable[[list[str]], list[str]], context: str = "") -> str:
@@ -58,7 +87,8 @@ def nl_to_sql(spark: SparkSession, question: str, allowed: list[str], model: Cal
     schema = "\n".join(f"{r}({', '.join(f'{f.name} {f.dataType.simpleString()}' for f in spark.table(r).schema)})" for r in allowed)
     prompt = f"Write one SQL SELECT statement.\nRelations:\n{schema}\n{context}\nQuestion: {question}"
     sql = check_static(model([prompt])[0])
-    if outside := relations_of(spark, sql) - {a.lower() for a in allowed}:
+    known = {name for r in allowed for name in relations_of(spark, f"SELECT * FROM {r}")}
+    if outside := relations_of(spark, sql) - known:
         raise InvalidParameter(f"relations outside the allowed ones: {sorted(outside)}")
     return sql
 
