@@ -59,17 +59,19 @@ def pack(atoms: list[str], size: int, overlap: int) -> list[str]:
     return out
 
 
-def sentences(text: str, size: int) -> list[str]:
+def sentences(text: str, size: int, overlap: int) -> list[str]:
+    """Sentences; one over the size is cut into windows that overlap."""
     parts = [p.strip() for p in re.split(r"(?<=[.!?])(?=\s|$)", text)]
-    return [w for p in parts if p for w in (windows(p, size, 0) if len(p) > size else [p])]
+    return [w for p in parts if p for w in (windows(p, size, overlap) if len(p) > size else [p])]
 
 
-def atoms_of(text: str, size: int, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ")) -> list[str]:
+def atoms_of(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ")) -> list[str]:
+    """Parts of at most ``size`` at the highest separators that give such; without one, windows that overlap."""
     if len(text) <= size:
-        return [text] if text.strip() else []
+        return [text.strip()] if text.strip() else []
     if not separators:
-        return windows(text, size, 0)
-    return [a for part in text.split(separators[0]) for a in atoms_of(part, size, separators[1:])]
+        return windows(text, size, overlap)
+    return [a for part in text.split(separators[0]) if part.strip() for a in atoms_of(part, size, overlap, separators[1:])]
 
 
 def chunk(text: str | None, strategy: str = "recursive", size: int = 512, overlap: int = 64) -> list[str]:
@@ -81,7 +83,7 @@ def chunk(text: str | None, strategy: str = "recursive", size: int = 512, overla
         return windows(text, size, overlap)
     if not text.strip():
         return []
-    return pack(sentences(text, size) if strategy == "sentence" else [a.strip() for a in atoms_of(text, size)], size, overlap)
+    return pack(sentences(text, size, overlap) if strategy == "sentence" else atoms_of(text, size, overlap), size, overlap)
 
 
 def fixed_chunks(text: Column, size: int, overlap: int) -> Column:
