@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,8 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemill.functions.semantics import InvalidParameter
 from tidemill.operators.ai import embed_column
-from tidemill.operators.change_feed import publish, read_current
+from tidemill.operators.change_feed import current_version, publish, read_current
 from tidemill.operators.chunk import check, chunk_column
+from tidemill.session import cut
 
 MAX_ATTEMPTS = 5
 LEASE_SECONDS = 60
@@ -40,10 +42,15 @@ class Vectorizer:
 
 
 def coalesce_jobs(queue: DataFrame, seq: str = "job_id") -> DataFrame:
-    """At most one pending job a (vectorizer_id, source_pk): the last operation wins, the place in the queue stays."""
-    pending = queue.where("state = 'pending'")
-    merged = pending.groupBy("vectorizer_id", "source_pk").agg(F.min(seq).alias(seq), F.max_by("op", seq).alias("op"), F.min("enqueued_at").alias("enqueued_at"), F.max("attempts").alias("attempts"))
-    return merged
+    """At most one pending job a (vectorizer_id, source_pk): the last operation wins, the place in the queue stays.
+
+    A job delivered more than once is one job; of deliveries that spell its operation differently the
+    alphabetically last spelling counts (after white space and letter case are made alike).
+    """
+    pending = queue.where("state = 'pending'").withColumn("op", F.lower(F.trim("op")))
+    return pending.groupBy("vectorizer_id", "source_pk").agg(
+        F.min(seq).alias(seq), F.max_by("op", F.when(F.col("op").isNotNull(), F.struct(seq, "op"))).alias("op"), F.min("enqueued_at").alias("enqueued_at"), F.max("attempts").alias("attempts")
+    )
 
 
 def backoff_seconds(attempts: Column) -> Column:
@@ -120,35 +127,77 @@ def embed_jobs(v: Vectorizer, jobs: DataFrame) -> DataFrame:
     return rows.withColumn("embedding", embed_column(F.col("chunk_text"), v.embed, v.dims))
 
 
-def replace_chunks(old: DataFrame | None, jobs: DataFrame, fresh: DataFrame, pk: str) -> DataFrame:
-    """All chunks of every touched key are replaced; deleted keys have none."""
-    if old is None:
-        return fresh
-    touched = jobs.select(F.col(pk).cast("string").alias("source_pk")).distinct()
-    return old.join(touched, "source_pk", "left_anti").unionByName(fresh)
-
-
 def last_changes(batch: DataFrame, pk: str, seq: str) -> DataFrame:
-    """The last change of each key of a micro-batch."""
+    """The last change of each key of a micro-batch; rows without a key or sequence number change nothing."""
     w = Window.partitionBy(pk).orderBy(F.desc(seq))
-    return batch.where(F.col(pk).isNotNull()).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    return batch.where(F.col(pk).isNotNull() & F.col(seq).isNotNull()).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
+#: Parts of a target; a micro-batch reads and rewrites only those its keys fall into.
+BUCKETS = 64
+TARGET = "source_pk string, seq long, deleted boolean, chunk_index int, chunk_text string, embedding array<float>"
+
+
+class Target:
+    """The chunks of a vectorizer in buckets of keys, each key with the sequence number of its last change.
+
+    A version is a small table of the folder of each bucket. A commit writes the touched buckets to new
+    folders and publishes the next version, so readers see a micro-batch as a whole or not at all. A row
+    with chunk_index -1 holds a key's sequence number and whether it is deleted.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root, buckets
+
+    def folders(self) -> dict[int, str]:
+        """Bucket to folder; empty only where nothing was ever published."""
+        if current_version(self.spark, self.root) is None:
+            return {}
+        return {r.bucket: r.folder for r in read_current(self.spark, self.root).collect()}
+
+    def rows(self, only: set[int] | None = None) -> DataFrame:
+        held = [f for b, f in self.folders().items() if only is None or b in only]
+        return self.spark.read.schema(TARGET).parquet(*held) if held else self.spark.createDataFrame([], TARGET)
+
+    def read(self) -> DataFrame:
+        """(source_pk, chunk_index, chunk_text, embedding, seq) of all current chunks."""
+        return self.rows().where("chunk_index >= 0").select("source_pk", "chunk_index", "chunk_text", "embedding", "seq")
+
+    def apply(self, v: Vectorizer, jobs: DataFrame, seq: str) -> int:
+        """Apply the last change of each key where it is newer than what is stored; returns the buckets rewritten."""
+        bucket = F.pmod(F.xxhash64("source_pk"), F.lit(self.buckets)).cast("int")
+        keyed = jobs.withColumn("source_pk", F.col(v.pk).cast("string"))
+        touched = {r.b for r in keyed.select(bucket.alias("b")).distinct().collect()}
+        if not touched:
+            return 0
+        old = self.rows(touched)
+        stored = old.groupBy("source_pk").agg(F.max("seq").alias("__stored"))
+        newer = cut(keyed.join(stored, "source_pk", "left").where(F.col("__stored").isNull() | (F.col(seq) > F.col("__stored"))))
+        marks = newer.select("source_pk", F.col(seq).cast("long").alias("seq"), (F.col("op") == "delete").alias("deleted"))
+        fresh = embed_jobs(v, newer).join(marks, "source_pk")
+        holders = marks.select("*", F.lit(-1).alias("chunk_index"), F.lit(None).cast("string").alias("chunk_text"), F.lit(None).cast("array<float>").alias("embedding"))
+        now = old.join(marks.select("source_pk"), "source_pk", "left_anti").unionByName(fresh).unionByName(holders)
+        data = f"{self.root}/data/{uuid.uuid4().hex}"
+        now.select("source_pk", "seq", "deleted", "chunk_index", "chunk_text", "embedding", bucket.alias("bucket")).repartition("bucket").write.partitionBy("bucket").parquet(data)
+        held = self.folders() | {b: f"{data}/bucket={b}" for b in touched}
+        publish(self.spark.createDataFrame(sorted(held.items()), "bucket int, folder string").coalesce(1), self.root)
+        return len(touched)
 
 
 def run_vectorizer(spark: SparkSession, v: Vectorizer, source_dir: str, schema: str, target: str, checkpoint: str, seq: str = "seq") -> StreamingQuery:
     """Process all changes that arrived in ``source_dir`` (Parquet files with op and ``seq``) and keep ``target`` current.
 
     The streaming checkpoint takes the place of leases: a micro-batch that was lost with its executors runs
-    again, and replacing all chunks of a key makes that harmless. Each batch publishes one new version.
+    again. A change is applied only where its ``seq`` is above the key's stored one, deletes included, so
+    repeated and late changes do no harm. A target that cannot be read stops the query. Read the result with
+    ``Target(spark, target).read()``.
     """
+    held = Target(spark, target)
 
     def process(batch: DataFrame, batch_id: int) -> None:
         jobs = last_changes(batch, v.pk, seq).persist()
         try:
-            try:
-                old = read_current(spark, target)
-            except Exception:
-                old = None
-            publish(replace_chunks(old, jobs, embed_jobs(v, jobs), v.pk), target)
+            held.apply(v, jobs, seq)
         finally:
             jobs.unpersist()
 
@@ -156,6 +205,38 @@ def run_vectorizer(spark: SparkSession, v: Vectorizer, source_dir: str, schema:
     return changes.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class VectorizerRegistry:
+    """Registered vectorizers by id; the callable that embeds is given again when a registry is opened."""
+
+    def __init__(self) -> None:
+        self._held: dict[int, Vectorizer] = {}
+
+    def create(self, pk: str, content: str, dims: int, embed, chunk_strategy: str | None = None, chunk_size: int = 512, chunk_overlap: int = 64) -> int:
+        """Register a vectorizer under the next id."""
+        number = max(self._held, default=0) + 1
+        self._held[number] = Vectorizer(number, pk, content, dims, embed, chunk_strategy, chunk_size, chunk_overlap)
+        return number
+
+    def get(self, number: int) -> Vectorizer:
+        if number not in self._held:
+            raise InvalidParameter(f"unknown vectorizer {number}")
+        return self._held[number]
+
+    def drop(self, number: int) -> bool:
+        return self._held.pop(number, None) is not None
+
+    def save(self, spark: SparkSession, root: str) -> None:
+        rows = [(v.id, v.pk, v.content, v.dims, v.chunk_strategy, v.chunk_size, v.chunk_overlap) for v in self._held.values()]
+        publish(spark.createDataFrame(rows, "id int, pk string, content string, dims int, chunk_strategy string, chunk_size int, chunk_overlap int").coalesce(1), root)
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str, embed) -> "VectorizerRegistry":
+        registry = cls()
+        for r in read_current(spark, root).collect():
+            registry._held[r.id] = Vectorizer(r.id, r.pk, r.content, r.dims, embed, r.chunk_strategy, r.chunk_size, r.chunk_overlap)
+        return registry
+
+
 def windowed_counts(events: DataFrame, ts: str, key: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Tumbling event-time counts; on a stream, rows later than the watermark are dropped, on a table none is."""
     rows = events.withColumn("__ts", F.col(ts).cast("timestamp"))
