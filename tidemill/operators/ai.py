@@ -3,12 +3,14 @@ given by the caller; no network is assumed. ``parity`` is the deterministic test
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -172,19 +174,60 @@ def embed_column(text: Column, embed: Callable[[list[str]], list[list[float]]],
     return run(text)
 
 
+def prefixes(keys: list[str], limit: int):
+    """Of each group of a task the first texts in order that can lie within ``limit`` characters; groups are handed over in bounded portions."""
+
+    def cut_off(rows: list[tuple]) -> list[tuple]:
+        rows.sort(key=lambda r: (r[0], r[1]))
+        used = 0
+        for n, r in enumerate(rows):
+            used += len(r[1]) + 1
+            if used > limit:
+                return rows[: n + 1]
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = None
+        held: dict[tuple, list[tuple]] = {}
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            rows = [(*k, *r) for k, own in held.items() for r in cut_off(own)]
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)], schema=schema)
+
+        for batch in batches:
+            schema = batch.schema
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                own = held.setdefault(row[: len(keys)], [])
+                own.append((row[-2], row[-1][:limit]))
+                size += len(own[-1][1]) + 100
+            if size > 16 << 20:
+                held = {k: cut_off(own) for k, own in held.items()}
+                size = sum(len(t) + 100 for own in held.values() for _, t in own)
+                if size > 8 << 20:
+                    yield out()
+                    held, size = {}, 0
+        if held:
+            yield out()
+
+    return run
+
+
 def agg_summarize(df: DataFrame, keys: list[str], text_col: str, order_col: str, model: Model = parity) -> DataFrame:
-    """One summary a group from its non-empty texts joined by newlines, cut to 12,000 characters; no text gives null.
+    """One summary a group from its non-empty texts joined by newlines in order (ties by text), cut to 12,000 characters; no text gives null.
 
-    The call runs once for each group, after the texts were cut: only the rows that can reach the limit are gathered.
+    Each task keeps of each of its groups only what can lie within the limit, so a group of any size reaches
+    the last step as one bounded stretch a task, by way of a second such round over a part of the tasks each.
     """
-    from pyspark.sql import Window
-
-    rows = df.select(*keys, F.col(text_col).alias("__t"), F.col(order_col).alias("__o"))
-    w = Window.partitionBy(*keys).orderBy("__o", "__t").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.sum(F.coalesce(F.char_length("__t"), F.lit(0)) + 1).over(w)
-    kept = rows.withColumn("__before", F.coalesce(size, F.lit(0))).withColumn("__t", F.when((F.col("__before") < SUMMARY_CHARS) & (F.char_length("__t") > 0), F.col("__t")))
-    parts = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("__t").isNotNull(), F.struct("__o", "__t")))).alias("p"))
-    joined = parts.select(*keys, F.when(F.size("p") > 0, F.substring(F.array_join(F.col("p.__t"), "\n"), 1, SUMMARY_CHARS)).alias("text"))
+    rows = df.select(*keys, F.col(order_col).alias("__o"), F.col(text_col).cast("string").alias("__t"))
+    full = rows.where((F.char_length("__t") > 0) & F.col("__o").isNotNull())
+    first = full.mapInArrow(prefixes(keys, SUMMARY_CHARS), full.schema)
+    second = first.withColumn("__task", F.pmod(F.spark_partition_id(), F.lit(64))).repartition(*keys, "__task").drop("__task").mapInArrow(prefixes(keys, SUMMARY_CHARS), full.schema)
+    parts = second.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__o", "__t"))).alias("p"))
+    every = rows.select(*keys).distinct()
+    same = [F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in keys]
+    both = every.alias("a").join(parts.alias("b"), functools.reduce(lambda x, y: x & y, same, F.lit(True)), "left") if keys else parts
+    joined = both.select(*[F.col(f"a.`{k}`") for k in keys], F.when(F.size("p") > 0, F.substring(F.array_join(F.col("p.__t"), "\n"), 1, SUMMARY_CHARS)).alias("text"))
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:

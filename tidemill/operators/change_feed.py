@@ -29,7 +29,8 @@ def upsert_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """The state of one bucket after all its changes, tombstones included."""
     import duckdb
 
-    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "1GB"})
+    # nothing is spilled to a folder of the machine: a bucket that does not fit is an error that asks for more buckets
+    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
     con.execute("CREATE TABLE state (owner BIGINT, pk VARCHAR, seq BIGINT, deleted BOOLEAN, payload VARCHAR, PRIMARY KEY (owner, pk))")
     for batch in batches:
         if len(batch):
@@ -63,7 +64,8 @@ def apply_changes(changes: DataFrame, owner: str, pk: str, op: str, seq: str, pa
     if state is not None:
         rows = rows.unionByName(state.select("owner", "pk", "seq", "deleted", "payload"))
     spark = changes.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // bucket_rows))
+    held = changes.count() + (state.count() if state is not None else 0)  # of a scan this reads footers only
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // bucket_rows))
     return rows.mapInArrow(last_of_each, rows.schema).repartition(buckets, "owner", "pk").mapInArrow(upsert_bucket, rows.schema)
 
 
@@ -89,26 +91,56 @@ def last_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from reduced(held)
 
 
-def publish(df: DataFrame, root: str) -> str:
-    """Write ``df`` as a new version under ``root`` and make it current in one atomic rename; returns its path."""
-    spark = df.sparkSession
-    version = f"version-{uuid.uuid4().hex}"
-    df.write.parquet(f"{root}/{version}")
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(conf)
-    staged = path(f"{root}/.current-{version}")
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop path and its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def switch(spark: SparkSession, root: str, version: str) -> None:
+    """Make ``version`` current under ``root`` in one atomic rename."""
+    staged, fs = file_system(spark, f"{root}/.current-{uuid.uuid4().hex}")
     out = fs.create(staged, True)
     out.write(bytearray(version, "utf-8"))
     out.close()
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(root).toUri(), conf)
     overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     context.rename(fs.makeQualified(staged), fs.makeQualified(path(f"{root}/CURRENT")), overwrite)
+
+
+def publish(df: DataFrame | dict[str, DataFrame], root: str, partition_by: str | None = None) -> str:
+    """Write ``df`` as a new version under ``root`` and make it current in one atomic rename; returns its path.
+
+    Several named tables become visible together. ``partition_by`` lays the files out by that column.
+    """
+    version = f"version-{uuid.uuid4().hex}"
+    parts = df if isinstance(df, dict) else {"": df}
+    for name, part in parts.items():
+        part.write.parquet(f"{root}/{version}/{name}".rstrip("/"), partitionBy=partition_by if partition_by in part.columns else None)
+    switch(part.sparkSession, root, version)
     return f"{root}/{version}"
 
 
-def read_current(spark: SparkSession, root: str) -> DataFrame:
-    """The version that ``publish`` made current last."""
-    version = spark.read.text(f"{root}/CURRENT").first()[0]
-    return spark.read.parquet(f"{root}/{version}")
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """The name of the current version, or None where nothing was ever published; a failing read is an error."""
+    pointer, fs = file_system(spark, f"{root}/CURRENT")
+    return spark.read.text(f"{root}/CURRENT").first()[0] if fs.exists(pointer) else None
+
+
+def read_current(spark: SparkSession, root: str, name: str = "") -> DataFrame:
+    """The version that ``publish`` made current last, or one of its tables."""
+    version = current_version(spark, root)
+    if version is None:
+        raise FileNotFoundError(f"nothing was published under {root}")
+    return spark.read.parquet(f"{root}/{version}/{name}".rstrip("/"))
+
+
+def vacuum(spark: SparkSession, root: str) -> int:
+    """Remove all versions but the current one, once no reader holds an older one; returns how many."""
+    keep = current_version(spark, root)
+    folder, fs = file_system(spark, root)
+    old = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("version-") and f.getPath().getName() != keep]
+    return sum(fs.delete(p, True) for p in old)

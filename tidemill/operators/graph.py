@@ -2,7 +2,9 @@
 
 Frontiers are DataFrames; every hop joins the frontier with the adjacency, keeps new nodes and is cut to
 the shared folder, so lineage stays short and a lost executor costs one hop. The adjacency of a built graph
-is written once, clustered by source, and read by every later traversal until it is built again.
+is written once, sorted by source, and read by every later traversal until it is built again. The arcs of
+a hub are dealt out over as many salts as it has stretches of ``ARCS_A_TASK``, and frontier rows that reach
+a hub are repeated for its salts, so no task gets a hub as a whole.
 """
 
 from __future__ import annotations
@@ -13,10 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.semantics import InvalidParameter
-from tidemill.operators.change_feed import publish, read_current
+from tidemill.operators.change_feed import file_system, publish, read_current
 from tidemill.session import cut
 
 MAX_NODE = 2**32 - 1
+#: Arcs of one node that a task may get; a node with more is a hub.
+ARCS_A_TASK = 50_000
 
 
 def adjacency(edges: DataFrame, src: str, dst: str) -> DataFrame:
@@ -32,7 +36,7 @@ def graph_build(edges: DataFrame, src: str, dst: str, folder: str) -> int:
     bad = adj.where(~F.col("src").between(0, MAX_NODE)).limit(1).count()
     if bad:
         raise InvalidParameter(f"node ids must lie in 0..{MAX_NODE}")
-    publish(adj.repartition("src").sortWithinPartitions("src"), folder)
+    publish(adj.repartitionByRange("src", "dst").sortWithinPartitions("src", "dst"), folder)
     return read_current(edges.sparkSession, folder).count() // 2
 
 
@@ -46,21 +50,37 @@ def load(spark: SparkSession, folder: str) -> DataFrame:
     return read_current(spark, folder)
 
 
-def expand_multi(adj: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
+def salted_arcs(arcs: DataFrame, arcs_a_task: int) -> tuple[DataFrame, DataFrame | None]:
+    """``arcs`` with a salt, written once, and the hubs as (src, salts); hubs are at most one row for ``arcs_a_task`` arcs."""
+    hubs = cut(arcs.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > arcs_a_task).select("src", F.ceil(F.col("n") / arcs_a_task).cast("int").alias("salts")))
+    if hubs.isEmpty():
+        return cut(arcs.withColumn("salt", F.lit(0))), None
+    salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int"))
+    return cut(arcs.join(hubs, "src", "left").withColumn("salt", salt).drop("salts")), hubs
+
+
+def along(front: DataFrame, node: str, arcs: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """``front`` joined with the arcs that leave its nodes; ``hubs`` is what ``salted_arcs`` found."""
+    if hubs is None:
+        return front.join(arcs.withColumnRenamed("src", node), node).drop("salt")
+    spread = front.join(hubs.withColumnRenamed("src", node), node, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return spread.join(arcs.withColumnRenamed("src", node), [node, "salt"]).drop("salt")
+
+
+def expand_multi(adj: DataFrame, seeds: DataFrame, max_hops: int, arcs_a_task: int = ARCS_A_TASK) -> DataFrame:
     """(set_id, node) reached within ``max_hops`` of each set's seeds, seeds included.
 
     Seeds that are null or unknown to the graph are skipped; negative hops count as none.
     """
-    arcs = adj.select("src", "dst").distinct()
     # an id below the largest node is in range even if isolated, as node ids are dense
     top = adj.agg(F.max("src").alias("top"))
     start = seeds.select("set_id", F.col("node").cast("long").alias("node")).where("set_id is not null and node is not null").distinct()
     start = start.crossJoin(F.broadcast(top)).where((F.col("node") >= 0) & (F.col("node") <= F.col("top"))).drop("top")
     seen = frontier = cut(start)
     if max_hops > 0:
-        arcs = cut(arcs.repartition("src"))
+        arcs, hubs = salted_arcs(adj.select("src", "dst").distinct(), arcs_a_task)
     for _ in range(max(0, max_hops)):
-        step = frontier.join(arcs, frontier.node == arcs.src).select("set_id", F.col("dst").alias("node")).distinct()
+        step = along(frontier, "node", arcs, hubs).select("set_id", F.col("dst").alias("node")).distinct()
         frontier = cut(step.join(seen, ["set_id", "node"], "left_anti"))
         if frontier.isEmpty():
             break
@@ -82,16 +102,16 @@ def expand_sets(adj: DataFrame, set_ids: list[int], seeds: list[int], max_hops:
     return expand_multi(adj, adj.sparkSession.createDataFrame(list(zip(set_ids, seeds)), "set_id int, node long"), max_hops)
 
 
-def ppr(adj: DataFrame, seeds: list[int] | None, damping: float = 0.5, iterations: int = 20, cut_every: int = 5) -> DataFrame:
+def ppr(adj: DataFrame, seeds: list[int] | None, damping: float = 0.5, iterations: int = 20, cut_every: int = 5, arcs_a_task: int = ARCS_A_TASK) -> DataFrame:
     """Personalised PageRank as (node, score): restart uniform over the seed entries (a repeated one counts
     again), over all nodes without a valid seed; parallel edges count, mass at isolated seeds leaks.
     Scores up to 1e-12 are dropped; damping is clamped to [0, 0.999].
     """
     d = min(max(damping, 0.0), 0.999)
     spark = adj.sparkSession
-    weights = cut(adj.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")).repartition("src"))
-    degree = weights.groupBy("src").agg(F.sum("m").alias("deg"))
-    arcs = cut(weights.join(degree, "src").select("src", "dst", (F.col("m") / F.col("deg")).alias("p")))
+    arcs, hubs = salted_arcs(adj.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")), arcs_a_task)
+    # the degree goes with the scores, one row a node, so that arcs are never joined as a whole
+    degree = cut(arcs.groupBy("src").agg(F.sum("m").alias("deg")).withColumnRenamed("src", "node"))
     top = adj.agg(F.max("src")).first()[0]
     valid = [s for s in seeds or [] if s is not None and top is not None and 0 <= s <= top]
     if valid:
@@ -103,7 +123,8 @@ def ppr(adj: DataFrame, seeds: list[int] | None, damping: float = 0.5, iteration
     restart = cut(restart)
     pi = restart.select("node", F.col("r").alias("score"))
     for i in range(max(1, iterations)):
-        spread = pi.join(arcs, pi.node == arcs.src).groupBy(F.col("dst").alias("node")).agg((F.sum(F.col("score") * F.col("p")) * d).alias("s"))
+        share = pi.join(degree, "node").select("node", (F.col("score") / F.col("deg")).alias("share"))
+        spread = along(share, "node", arcs, hubs).groupBy(F.col("dst").alias("node")).agg((F.sum(F.col("share") * F.col("m")) * d).alias("s"))
         pi = spread.join(restart, "node", "full").select("node", (F.coalesce("s", F.lit(0.0)) + F.coalesce("r", F.lit(0.0)) * (1 - d)).alias("score"))
         if i % cut_every == cut_every - 1:
             pi = cut(pi)
@@ -145,3 +166,9 @@ def graph_rag_search(nodes: DataFrame, edges: DataFrame, query: list[float], wor
         edges.where(own).join(reached.withColumnRenamed("node", "src_id"), "src_id", "left_anti").join(reached.withColumnRenamed("node", "dst_id"), "dst_id", "left_semi").select(edges.columns)
     )
     return touched.select(F.explode("source_chunk_ids").alias("chunk_id"), "weight").groupBy("chunk_id").agg(F.sum("weight").alias("score")).orderBy(F.desc("score"), F.asc("chunk_id"))
+
+
+def drop_graph(spark: SparkSession, folder: str) -> bool:
+    """Remove a built graph with all its versions; False where there is none."""
+    path, fs = file_system(spark, folder)
+    return bool(fs.delete(path, True))

@@ -1,11 +1,13 @@
 """BM25 full-text search over a postings table.
 
-``bm25_build`` writes three Parquet tables under an index folder: postings (term, doc_id, tf) clustered by
-term, document lengths, and one row of corpus statistics. A search reads only the row groups of its terms.
+``bm25_build`` publishes two Parquet tables of an index folder together: postings (term, doc_id, tf, len)
+sorted by term and document, so that a frequent term spans files, and one row of corpus statistics. A
+search reads only the row groups of its terms; nothing else of the corpus is read or joined.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import pandas as pd
@@ -13,18 +15,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.semantics import InvalidParameter
-from tidemill.operators.change_feed import publish, read_current
+from tidemill.operators.change_feed import current_version, publish, read_current
 from tidemill.operators.stemmer import stem
 from tidemill.session import cut
 
 K1, B = 1.2, 0.75
 MAX_TOKEN_BYTES = 40
-# English stop words.
-STOP_WORDS = set(
-    "a about above after again all am an and any are as at be because been before being below between both but by can cannot could did do does doing down during each few for from further had has have having "
-    "he her here hers him his how i if in into is it its me more most my no nor not of off on once only or other our out over own same she should so some such than that the their them then there these they "
-    "this those through to too under until up very was we were what when where which while who whom why will with would you your".split()
-)
+# The English stop words of the common search libraries.
+STOP_WORDS = set("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 
 
 def analyze(text: str) -> list[str]:
@@ -51,29 +49,29 @@ def sanitize(query: str) -> str:
     return re.sub(r"[^a-z0-9_]+", " ", query.lower()).strip()
 
 
-def postings(df: DataFrame, id_col: str, text_col: str, stemmed: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(term, doc_id, tf) and (doc_id, len); documents with a null text are not indexed."""
+def analyzed_docs(df: DataFrame, id_col: str, text_col: str, stemmed: bool) -> DataFrame:
+    """(doc_id, terms); documents with a null text or id are not indexed."""
     docs = df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    terms = docs.select("doc_id", (analyzed(F.col("t")) if stemmed else plain_terms(F.col("t"))).alias("terms"))
-    counted = terms.select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return counted.select("term", "doc_id", "tf"), terms.select("doc_id", F.size("terms").alias("len"))
+    return docs.select("doc_id", (analyzed(F.col("t")) if stemmed else plain_terms(F.col("t"))).alias("terms"))
 
 
-def score(postings_df: DataFrame, lengths: DataFrame, terms: list[str], k: int) -> DataFrame:
-    """(id, score) of the k best documents holding any of the terms; a term asked twice counts twice, ties by id."""
+def statistics(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg_len"))
+
+
+def score(hits: DataFrame, docs: int, avg_len: float | None, terms: list[str], k: int) -> DataFrame:
+    """(id, score) of the k best documents holding any of the terms; a term asked twice counts twice, ties by id.
+
+    ``hits`` are the postings (term, doc_id, tf, len) of the terms and are read once to count documents a
+    term, one row a query term.
+    """
     if k <= 0:
         raise InvalidParameter("k must be positive")
-    stats = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg_len"))
-    weights = {t: terms.count(t) for t in terms}
-    hits = postings_df.where(F.col("term").isin(list(weights)))
-    df_of = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    boost = F.coalesce(*[F.when(F.col("term") == t, F.lit(float(n))) for t, n in weights.items()], F.lit(0.0)) if weights else F.lit(0.0)
-    # statistics are one row and document frequencies one row a query term
-    full = hits.join(F.broadcast(df_of), "term").join(lengths, "doc_id").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
-    one = boost * idf * F.col("tf") * (K1 + 1) / norm
-    return full.groupBy(F.col("doc_id").alias("id")).agg(F.sum(one).alias("score")).orderBy(F.desc("score"), F.asc("id")).limit(k)
+    df_of = {r.term: r.n for r in hits.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()} if terms else {}
+    idf = {t: terms.count(t) * math.log(1 + (docs - n + 0.5) / (n + 0.5)) for t, n in df_of.items()}
+    weight = F.coalesce(*[F.when(F.col("term") == t, F.lit(w)) for t, w in idf.items()], F.lit(0.0))
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avg_len or 1.0))
+    return hits.groupBy(F.col("doc_id").alias("id")).agg(F.sum(weight * F.col("tf") * (K1 + 1) / norm).alias("score")).orderBy(F.desc("score"), F.asc("id")).limit(k)
 
 
 def bm25_scan(df: DataFrame, id_col: str, text_col: str, query: str, k: int, stemmed: bool = True) -> DataFrame:
@@ -82,23 +80,40 @@ def bm25_scan(df: DataFrame, id_col: str, text_col: str, query: str, k: int, ste
         raise InvalidParameter("k must be positive")
     wanted = analyze(sanitize(query)) if stemmed else sanitize(query).split()
     words = sorted(set(wanted))
-    docs = df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    terms = docs.select("doc_id", (analyzed(F.col("t")) if stemmed else plain_terms(F.col("t"))).alias("terms"))
+    terms = analyzed_docs(df, id_col, text_col, stemmed)
     held = F.filter("terms", lambda t: t.isin(words)) if words else F.array().cast("array<string>")
     seen = cut(terms.select("doc_id", F.size("terms").alias("len"), held.alias("held")))
-    hits = seen.select("doc_id", F.explode("held").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")).select("term", "doc_id", "tf")
-    return score(hits, seen.select("doc_id", "len"), wanted, k)
+    hits = seen.select("doc_id", "len", F.explode("held").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    total = statistics(seen).first()
+    return score(hits, total.docs, total.avg_len, wanted, k)
 
 
 def bm25_build(df: DataFrame, id_col: str, text_col: str, folder: str, stemmed: bool = True) -> int:
     """(Re)build an index under ``folder``; returns the documents indexed. Readers see the old index until the new one is complete."""
-    p, lengths = postings(df, id_col, text_col, stemmed)
-    publish(p.repartitionByRange("term").sortWithinPartitions("term", "doc_id"), f"{folder}/postings")
-    publish(lengths, f"{folder}/lengths")
-    return read_current(df.sparkSession, f"{folder}/lengths").count()
+    terms = analyzed_docs(df, id_col, text_col, stemmed)
+    counted = terms.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    postings = counted.select("term", "doc_id", "tf", "len").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    publish({"postings": postings, "statistics": statistics(terms.select(F.size("terms").alias("len"))).coalesce(1)}, folder)
+    return read_current(df.sparkSession, folder, "statistics").first().docs
+
+
+#: Opened indexes: folder to (version, postings, documents, average length); a new version takes the place of the old one.
+_open: dict[str, tuple[str, DataFrame, int, float | None]] = {}
+
+
+def bm25_open(spark: SparkSession, folder: str) -> tuple[DataFrame, int, float | None]:
+    """The current version of an index; file listing and statistics are read once a version."""
+    version = current_version(spark, folder)
+    if version is None:
+        raise FileNotFoundError(f"no index under {folder}")
+    if folder not in _open or _open[folder][0] != version or _open[folder][1].sparkSession is not spark:
+        total = spark.read.parquet(f"{folder}/{version}/statistics").first()
+        _open[folder] = (version, spark.read.parquet(f"{folder}/{version}/postings"), total.docs, total.avg_len)
+    return _open[folder][1:]
 
 
 def bm25_search(spark: SparkSession, folder: str, query: str, k: int, stemmed: bool = True) -> DataFrame:
     """(id, score); an index that was never built is an error, an empty query gives no rows."""
     terms = analyze(sanitize(query)) if stemmed else sanitize(query).split()
-    return score(read_current(spark, f"{folder}/postings"), read_current(spark, f"{folder}/lengths"), terms, k)
+    postings, docs, avg_len = bm25_open(spark, folder)
+    return score(postings.where(F.col("term").isin(sorted(set(terms)))), docs, avg_len, terms, k)
