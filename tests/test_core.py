@@ -8,7 +8,7 @@ from tidemill.functions import semantics as S
 from tidemill.functions import vectors as V
 from tidemill.functions.semantics import InvalidParameter
 from tidemill.operators import ai, chunk, extract, graph, hybrid, knn, lexical, nl, stemmer
-from tidemill.operators.change_feed import apply_changes, publish, read_current
+from tidemill.operators.change_feed import apply_changes, publish, read_current, vacuum
 from tidemill.operators.hot_keys import balanced_sums, endpoint_totals, hot_nodes
 from tidemill.sources import lakehouse
 from tidemill.streaming import vectorizer as vz
@@ -106,6 +106,38 @@ def test_index_parameters(vectors, spark):
     assert knn.knn_batch(df, "id", "v", [], 5).count() == 0
 
 
+def test_index_is_stored(vectors, spark, tmp_path):
+    x, df = vectors
+    q = x[:5].tolist()
+    for make in (None, lambda s: knn.ScalarQuantiser(s)):
+        index = knn.ivf_build(df, "id", "v", 10, folder=str(tmp_path / f"i{make is None}"), quantiser=make, keep=["label"])
+        narrow, wide = (knn.scan_stats(index, q, p).agg(F.sum("rows_scanned")).first()[0] for p in (1, 10))
+        assert narrow < wide == 5 * 400
+        plan = index.probe(q[:1], 3, 1)._jdf.queryExecution().executedPlan().toString()
+        assert make is not None or "PartitionFilters: [isnotnull(list" in plan
+        got = index.probe(q, 3, where=F.col("label") == 2).join(df.where("label = 2"), "id")
+        assert got.count() == 15
+        more = spark.createDataFrame([(5000 + i, v) for i, v in enumerate(q)], "id long, v array<float>").withColumn("label", F.lit(9))
+        index.append(more, "id", "v")
+        near = {(r.query_idx, r.id) for r in knn.VectorIndex(spark, index.root).probe(q, 2).collect()}
+        assert {(i, 5000 + i) for i in range(5)} <= near and {(i, i) for i in range(5)} <= near
+    held = knn.decoded_bytes(index, list(range(10))).agg(F.sum("vectors"), F.sum("vector_bytes"), F.sum("code_bytes")).first()
+    assert tuple(held) == (405, 405 * 32, 405 * 8)
+    assert sorted(r.id for r in knn.vindex_assign(index, df, "id", "v").collect()) == list(range(400))
+    with pytest.raises(InvalidParameter):
+        knn.ivf_build(df.withColumn("list", F.lit(1)), "id", "v", 4, keep=["list"])
+    with pytest.raises(InvalidParameter):
+        knn.ivf_build(df.limit(0), "id", "v", 4)
+
+
+def test_similarity_join_in_blocks(vectors, monkeypatch):
+    x, df = vectors
+    want = {(r.left_id, r.id) for r in knn.similarity_join(df.where("id < 30"), df, "id", "v", 3).collect()}
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 7)
+    assert {(r.left_id, r.id) for r in knn.similarity_join(df.where("id < 30"), df, "id", "v", 3).collect()} == want and len(want) == 90
+    assert knn.similarity_join(df.limit(0), df, "id", "v", 3).count() == 0
+
+
 def test_quantisers():
     s = np.array([[0.0, 0.0], [2.0, 2.0]])
     b = knn.BinaryQuantiser(s)
@@ -149,6 +181,15 @@ def test_bm25(spark, tmp_path):
     assert lexical.sanitize("Ação, X_1!") == "a o x_1" and lexical.analyze("The " + "x" * 41 + " databases") == ["databas"]
 
 
+def test_bm25_rebuild_is_seen(spark, tmp_path):
+    folder = str(tmp_path / "i")
+    lexical.bm25_build(spark.createDataFrame([(1, "red apple")], "id long, t string"), "id", "t", folder)
+    assert lexical.bm25_search(spark, folder, "pears", 5).count() == 0
+    lexical.bm25_build(spark.createDataFrame([(1, "red apple"), (2, "green pear")], "id long, t string"), "id", "t", folder)
+    assert [r.id for r in lexical.bm25_search(spark, folder, "pears", 5).collect()] == [2]
+    assert vacuum(spark, folder) == 1 and lexical.bm25_search(spark, folder, "apples", 5).count() == 1
+
+
 def test_hybrid(spark):
     df = spark.createDataFrame([("dv", "other words", [1.0, 0.0, 0.0]), ("df", "database database database", None)], "doc_id string, body string, e array<float>")
     run = lambda wv, wt: [r.id for r in hybrid.hybrid_search_rrf(df, "doc_id", "body", "e", "database", [1.0, 0.0, 0.0], vector_weight=wv, text_weight=wt).collect()]
@@ -192,6 +233,22 @@ def test_expand(spark, g, tmp_path):
         graph.graph_build(spark.createDataFrame([(-1, 1)], "s long, d long"), "s", "d", str(tmp_path / "bad"))
 
 
+def test_hubs_are_dealt_out(spark, tmp_path):
+    star = spark.createDataFrame([(0, i) for i in range(1, 60)] + [(59, 60), (60, 61)], "s long, d long")
+    adj = graph.adjacency(star, "s", "d")
+    arcs, hubs = graph.salted_arcs(adj, 10)
+    assert [(r.src, r.salts) for r in hubs.collect()] == [(0, 6)] and arcs.where("src = 0").select("salt").distinct().count() > 1
+    start = spark.createDataFrame([(1, 1), (2, 61)], "set_id int, node long")
+    for hops in (1, 2, 3):
+        a, b = (sorted(map(tuple, graph.expand_multi(adj, start, hops, n).collect())) for n in (10, 1000))
+        assert a == b
+    a, b = ({r.node: round(r.score, 12) for r in graph.ppr(adj, [1], 0.5, 5, arcs_a_task=n).collect()} for n in (10, 1000))
+    assert a == b
+    folder = str(tmp_path / "g")
+    graph.graph_build(star, "s", "d", folder)
+    assert graph.drop_graph(spark, folder) and not graph.drop_graph(spark, folder)
+
+
 def test_ppr(spark, g):
     adj = graph.adjacency(g, "s", "d")
     a = np.zeros((5, 5))
@@ -228,7 +285,12 @@ def test_extraction(spark):
     ents = extract.entities(text)
     assert [e[1] for e in ents] == ["ada lovelace", "charles babbage", "london", "analytical engine"] and ents[0][3] == 2
     assert len(extract.relations([e[1] for e in ents])) == 6 and extract.entities(None) == []
-    assert extract.parse_reply("E<|>X Corp<|>org\nR<|>X Corp<|>Ada<|>hires", text) == ([("X Corp", "x corp", "org", 1)], [("ada", "x corp", 1, "hires")])
+    assert extract.parse_reply("E<|>X Corp<|>org\nR<|>X Corp<|>Ada<|>hires\nbad\nR<|>Ada<|>X corp<|>", text) == ([("X Corp", "x corp", "org", 1)], [("ada", "x corp", 2, "hires")])
+    assert extract.parse_reply("e<|>A1 B<|>org\nE<|>a1 b<|>x\nE<|>C<|>y", text) == ([("A1 B", "a1 b", "org", 2), ("C", "c", "y", 1)], [("a1 b", "c", 1, "")])
+    # small letters of any alphabet are no capitals; all but blanks between capitals ends a run
+    assert [e[1] for e in extract.entities("привет łódź Москва  Сити. 東京 Jean-Paul O'Hara Foo\tBar Baz\nQux Yes Been Her Hall So")] == ["москва сити", "jean", "paul o", "hara foo", "bar baz", "qux yes been her hall"]
+    assert len(extract.entities(" ".join(f"Name{i}," for i in range(100)))) == 64 and len(extract.entities("Aaa, Bbb, Ccc", 2)) == 2
+    assert extract.relations(list("abcdef")) == [(a, b, 1, "") for i, a in enumerate("abcdef") for b in "abcdef"[i + 1 : i + 5]]
     assert extract.parse_reply("nothing", text)[0] == ents
     chunks = spark.createDataFrame([(1, text)], "id long, t string")
     n1, e1 = extract.graph_upsert(None, None, chunks, "w", "c", "id", "t")
@@ -245,6 +307,11 @@ def test_chunking(spark):
     assert chunk.chunk(t, "fixed", 20, 4) == [t[0:20], t[16:36], t[32:49]]
     assert chunk.chunk(t, "sentence", 30, 0) == ["The cat sat. The dog ran.", "A bird flew away today."]
     assert chunk.pack(["aaaa bbbb", "cc", "dddddddddd"], 10, 3) == ["aaaa bbbb", "cc", "cc dddddddddd"]
+    letters = "abcdefghij" * 120
+    for strategy in ("sentence", "recursive", "fixed"):  # what has no boundary is cut into windows that overlap
+        assert chunk.chunk(letters, strategy, 512, 64)[:2] == [letters[:512], letters[448:960]] and len(chunk.chunk(letters, strategy, 512, 64)[2]) == 304
+    assert chunk.chunk("aa bb\ncc dd\n\nee ff. gg hh", "recursive", 8, 3) == ["aa bb", "cc dd", "ee ff", "gg hh"] and chunk.chunk("aa bb\ncc dd", "recursive", 11, 0) == ["aa bb\ncc dd"]
+    assert chunk.chunk("One two. Three four! Five?", "sentence", 20, 9) == ["One two. Three four!", "Five?"] and chunk.chunk("One. Two. Six.", "sentence", 9, 4) == ["One. Two.", "Two. Six."]
     assert chunk.chunk(None) == chunk.chunk("") == chunk.chunk(" \n", "sentence") == [] and chunk.chunk("  ", "fixed") == ["  "]
     df = spark.createDataFrame([(1, t), (2, ""), (3, None), (4, "x" * 7)], "id long, t string")
     for s in chunk.STRATEGIES:
@@ -274,6 +341,13 @@ def test_models(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, ""), ("a", 3, "2"), ("b", 1, None)], "k string, o int, t string")
     got = {r.k: r.summary for r in ai.agg_summarize(rows, ["k"], "t", "o", lambda p: [x.split("\n", 1)[1] for x in p]).collect()}
     assert got == {"a": "x\n2", "b": None}
+    many = spark.createDataFrame([(None if i % 7 == 0 else i % 3, i, f"t{i}" * (50 if i % 2 else 1)) for i in range(2000)], "k int, o int, t string").repartition(6)
+    same = lambda p: [x.split("\n", 1)[1] for x in p]
+    got = {r.k: r.summary for r in ai.agg_summarize(many, ["k"], "t", "o", same).collect()}
+    for k in (None, 0, 1, 2):
+        own = [f"t{i}" * (50 if i % 2 else 1) for i in range(2000) if (None if i % 7 == 0 else i % 3) == k]
+        assert got[k] == "\n".join(own)[:12_000]
+    assert ai.agg_summarize(many.limit(0), ["k"], "t", "o", same).count() == 0
     reg = ai.ModelRegistry()
     reg.create_model("m", "chat", "https://x", model=ai.parity)
     assert reg.apply_model("m")(["2"]) == ["yes"] and reg.list_models()[0]["name"] == "m" and reg.drop_model("m") and not reg.drop_model("m")
@@ -288,11 +362,15 @@ def test_questions(spark):
     ask = lambda sql, **k: nl.nl_query(spark, "q", ["numbers"], lambda p: [sql], **k)
     assert ask("SELECT n FROM numbers ORDER BY n", max_rows=3).count() == 3
     assert ask("```sql\nWITH x AS (SELECT n FROM numbers) SELECT count(*) AS c FROM x;\n```").first()[0] == '{"c":5}'
-    for bad in ("DROP TABLE numbers", "SELECT 1; SELECT 2", "SELECT * FROM secrets", "SELECT n FROM numbers -- c", "SELECT * FROM numbers JOIN secrets", "INSERT INTO numbers SELECT 1", "", "SELECT * FROM parquet.`/tmp/x`", "SELECT (SELECT max(id) FROM secrets) FROM numbers"):
+    for bad in ("DROP TABLE numbers", "SELECT 1; SELECT 2", "SELECT * FROM secrets", "SELECT n FROM numbers -- c", "SELECT * FROM numbers JOIN secrets", "INSERT INTO numbers SELECT 1", "", "SELECT * FROM parquet.`/tmp/x`", "SELECT (SELECT max(id) FROM secrets) FROM numbers", "WITH secrets AS (SELECT * FROM secrets) SELECT * FROM secrets", "WITH x AS (SELECT 1 AS n) SELECT n FROM (WITH y AS (SELECT id FROM secrets) SELECT id AS n FROM y)", "SELECT * FROM global_temp.numbers", "SELECT nothing FROM numbers"):
         with pytest.raises(InvalidParameter):
             ask(bad)
     with pytest.raises(InvalidParameter):
         ask("SELECT 1", max_rows=0)
+    spark.range(2).createOrReplaceGlobalTempView("numbers")
+    with pytest.raises(InvalidParameter):
+        ask("SELECT id FROM global_temp.numbers")
+    assert ask("WITH secrets AS (SELECT n FROM numbers) SELECT * FROM secrets").count() == 5
     cfg = nl.NlConfigs()
     cfg.add_config("c", ["numbers"], "ctx", "t")
     cfg.add_template("t", "tmpl")
@@ -364,14 +442,42 @@ def test_streaming_vectorizer(spark, tmp_path):
     v = vz.Vectorizer(1, "pk", "body", 8, ai.hashed_embedding(8), "fixed", 10, 2)
     spark.createDataFrame([("a", "hello world again", "insert", 1), ("b", "short", "insert", 2), ("a", "new text", "update", 3)], schema).write.mode("append").parquet(src)
     vz.run_vectorizer(spark, v, src, schema, out, ck).awaitTermination()
-    got = {(r.source_pk, r.chunk_index): r.chunk_text for r in read_current(spark, out).collect()}
+    got = {(r.source_pk, r.chunk_index): r.chunk_text for r in vz.Target(spark, out).read().collect()}
     assert got == {("a", 0): "new text", ("b", 0): "short"}
     spark.createDataFrame([("b", None, "delete", 4), ("c", "third one", "insert", 5)], schema).write.mode("append").parquet(src)
     vz.run_vectorizer(spark, v, src, schema, out, ck).awaitTermination()
-    rows = read_current(spark, out).collect()
+    rows = vz.Target(spark, out).read().collect()
     assert {r.source_pk for r in rows} == {"a", "c"} and all(len(r.embedding) == 8 for r in rows)
 
 
+def test_vectorizer_ignores_late_changes(spark, tmp_path):
+    target = vz.Target(spark, str(tmp_path / "out"), 4)
+    v = vz.Vectorizer(1, "pk", "body", 8, ai.hashed_embedding(8))
+    feed = lambda *rows: target.apply(v, vz.last_changes(spark.createDataFrame(list(rows), "pk string, body string, op string, seq long"), "pk", "seq"), "seq")
+    now = lambda: {r.source_pk: r.chunk_text for r in target.read().collect()}
+    feed(("a", "new", "upsert", 10), ("b", "b", "insert", 1), ("c", "", "insert", 2))
+    feed(("a", "old", "upsert", 5))
+    assert now() == {"a": "new", "b": "b", "c": ""}
+    feed(("a", None, "delete", 3), ("b", None, "delete", 7), (None, "x", "insert", 8), ("d", "x", "insert", None))
+    assert now() == {"a": "new", "c": ""}
+    feed(("b", "late", "insert", 6))
+    assert now() == {"a": "new", "c": ""}
+    assert feed(("b", "back", "insert", 8)) == 1 and now() == {"a": "new", "b": "back", "c": ""}
+    assert target.apply(v, spark.createDataFrame([], "pk string, body string, op string, seq long"), "seq") == 0
+    pointer = tmp_path / "out" / "CURRENT"
+    pointer.write_text("version-lost")
+    (tmp_path / "out" / ".CURRENT.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception):  # an unreadable target is no empty one
+        feed(("z", "z", "insert", 99))
+    reg = vz.VectorizerRegistry()
+    assert reg.create("pk", "body", 8, ai.hashed_embedding(8), "fixed", 10, 2) == 1 and reg.create("pk", "body", 4, ai.hashed_embedding(4)) == 2
+    reg.save(spark, str(tmp_path / "reg"))
+    again = vz.VectorizerRegistry.open(spark, str(tmp_path / "reg"), ai.hashed_embedding(8))
+    assert again.get(1).chunk_strategy == "fixed" and again.drop(1) and not again.drop(1)
+    with pytest.raises(InvalidParameter):
+        again.get(1)
+
+
 # --- hot keys and change feed ---
 
 
@@ -390,6 +496,13 @@ def test_hot_keys(spark):
     assert endpoint_totals(df.limit(0), "s", "d", "w").count() == 0
     with pytest.raises(ValueError):
         balanced_sums(df, "s", {"key": F.lit(1)})
+    money = spark.createDataFrame([(1, 0.5, 1), (1, 0.7, 2**62), (1, 1.9, 3), (2, None, None)], "k long, x double, y long").withColumn("d", F.col("x").cast("decimal(9,2)"))
+    r = {r.key: (round(r.x, 9), str(r.d), r.y) for r in balanced_sums(money, "k", {"x": F.col("x"), "d": F.col("d"), "y": F.col("y")}, 3).collect()}
+    assert r == {1: (3.1, "3.10", 2**62 + 4), 2: (0.0, "0.00", 0)}
+    with pytest.raises(ValueError):
+        balanced_sums(money, "k", {"d": F.col("d").cast("decimal(30,2)")})
+    with pytest.raises(Exception, match="64 bits|overflow"):
+        balanced_sums(money.withColumn("y", F.lit(2**62)), "k", {"y": F.col("y")}).collect()
 
 
 def test_change_feed(spark, tmp_path):

@@ -3,19 +3,28 @@
 Exact search is a distance expression under ``TakeOrderedAndProject``: each task keeps k rows. Batches of
 queries are held against all rows in blocks; every Arrow batch keeps k rows a query before anything is
 shuffled. Codebooks are fitted on a bounded sample, assignment and search cover every row.
+
+An index is stored: files partitioned by inverted list, with the vector and, if quantised, its code in
+columns of their own. A search reads the probed lists only; a quantised one reads codes only, and then the
+vectors of the best codes from the lists these lie in.
 """
 
 from __future__ import annotations
 
+import pickle
+import time
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.semantics import InvalidParameter, overlaps
 from tidemill.functions.vectors import distance, lit_vector, metric_name, valid_vector
+from tidemill.operators.change_feed import publish, read_current
+from tidemill.session import cut, scratch_path
 
 #: Rows a codebook is fitted on at most (smallest hashes of the id).
 FIT_ROWS = 50_000
@@ -77,6 +86,19 @@ def batch_scan(q: np.ndarray, k: int, metric: str, dims: int, allowed=None):
     return run
 
 
+def vector_rows(df: DataFrame, id_col: str, vec_col: str, dims: int) -> DataFrame:
+    """(id, v) without null ids and vectors; a row of another dimension is an error."""
+    rows = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
+    return rows.select("id", F.when(F.size("v") == dims, F.col("v")).otherwise(F.raise_error(F.lit("different vector dimensions")).cast("array<float>")).alias("v"))
+
+
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def knn_batch(df: DataFrame, id_col: str, vec_col: str, queries: list[list[float]], k: int = 10, metric: str = "l2") -> DataFrame:
     """(query_idx, id, distance) of the k nearest rows of each query, exact; ties by id, NaN last.
 
@@ -90,16 +112,12 @@ def knn_batch(df: DataFrame, id_col: str, vec_col: str, queries: list[list[float
     if any(len(q) != dims for q in queries):
         raise InvalidParameter("queries of different dimensions")
     kind = metric_name(metric)
-    rows = df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
-    rows = rows.select("id", F.when(F.size("v") == dims, F.col("v")).otherwise(F.raise_error(F.lit("different vector dimensions")).cast("array<float>")).alias("v"))
+    rows = vector_rows(df, id_col, vec_col, dims)
     parts = []
     for at in range(0, len(queries), QUERY_BLOCK):
         q = np.array(queries[at : at + QUERY_BLOCK], np.float64).reshape(-1, dims)
         parts.append(rows.mapInArrow(batch_scan(q, k, kind, dims), "query_idx int, id long, distance double").withColumn("query_idx", F.col("query_idx") + at))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return top_per(out, "query_idx", k)
+    return top_per(union_all(parts), "query_idx", k)
 
 
 def top_per(df: DataFrame, key: str, k: int) -> DataFrame:
@@ -110,32 +128,63 @@ def top_per(df: DataFrame, key: str, k: int) -> DataFrame:
 def similarity_join(left: DataFrame, right: DataFrame, id_col: str, vec_col: str, k: int, metric: str = "l2") -> DataFrame:
     """The k nearest right rows of every row of a stated left set, as (left_id, id, distance).
 
-    The left set is collected in blocks of ``QUERY_BLOCK`` and held against all right rows; for the
-    neighbours of all rows of a large table use an index.
+    The left set is read in blocks of ``QUERY_BLOCK`` in the order of its ids, and each block is held against
+    all right rows; for the neighbours of all rows of a large table use an index. Of repeated left ids one
+    row counts. Left vectors that are null take no part.
     """
-    rows = left.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<float>").alias("v")).orderBy("i").collect()
-    ids = [r.i for r in rows]
-    found = knn_batch(right, id_col, vec_col, [list(r.v) for r in rows], k, metric)
-    at = F.element_at(F.array(*map(F.lit, ids)), F.col("query_idx") + 1) if ids else F.lit(None).cast("long")
-    return found.select(at.alias("left_id"), "id", "distance")
+    if k <= 0:
+        raise InvalidParameter("k must be positive")
+    kind = metric_name(metric)
+    rows = left.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<float>").alias("v")).dropDuplicates(["i"])
+    parts, last = [], None
+    while True:
+        block = (rows if last is None else rows.where(F.col("i") > last)).orderBy("i").limit(QUERY_BLOCK).collect()
+        if block:
+            ids, q = np.array([r.i for r in block], np.int64), np.array([r.v for r in block], np.float64)
+            last = block[-1].i
+            scan = batch_scan(q, k, kind, q.shape[1])
+            parts.append(vector_rows(right, id_col, vec_col, q.shape[1]).mapInArrow(with_names(scan, ids), "left_id long, id long, distance double"))
+        if len(block) < QUERY_BLOCK:
+            break
+    if not parts:
+        return left.sparkSession.createDataFrame([], "left_id long, id long, distance double")
+    return top_per(union_all(parts), "left_id", k)
+
+
+def with_names(scan, ids: np.ndarray):
+    """The batches of a scan with the ids of the queries in place of their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in scan(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[b.column(0).to_numpy()]), b.column(1), b.column(2)], names=["left_id", "id", "distance"])
+
+    return run
 
 
 def threshold_join(df: DataFrame, id_col: str, vec_col: str, tau: float) -> DataFrame:
-    """Pairs (id_a < id_b) with L2 distance below ``tau``; tau <= 0 gives none.
+    """Pairs (id_a < id_b) with L2 distance below ``tau``; tau <= 0 gives none. Rows of different dimensions never pair.
 
-    Vectors are placed in cells of width tau by their norm and by their component along the diagonal; by the
-    triangle inequality a pair lies in one cell or in neighbouring ones, so an equi-join on cells finds all
-    pairs.
+    Vectors are placed in cells of width tau along the two directions of largest variance of a bounded
+    sample; a projection never lengthens a distance, so a pair lies in one cell or in neighbouring ones, and
+    an equi-join on cells, tested on a third direction before the distance, finds all pairs.
     """
-    rows = df.where(F.col(id_col).isNotNull() & valid_vector(vec_col)).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    if tau <= 0:
+    rows = df.where(F.col(id_col).isNotNull() & valid_vector(vec_col)).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
+    sample = fit_rows(df, id_col, vec_col) if tau > 0 else []
+    if not len(sample):
         return rows.select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(0.0).alias("distance")).limit(0)
-    first = F.floor(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double")) / (F.sqrt(F.size("v").cast("double")) * tau)).cast("long")
-    second = F.floor(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))) / tau).cast("long")
-    cells = rows.withColumn("c1", first).withColumn("c2", second)
+    axes = np.linalg.svd(sample - sample.mean(0), full_matrices=False)[2][:3]
+    dims = sample.shape[1]
+
+    def along(n: int) -> Column:
+        if n >= len(axes):
+            return F.lit(0.0)
+        return F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in axes[n]]), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
+
+    wide = tau * (1 + 1e-6)  # rounding of the projections
+    of_size = rows.where(F.size("v") == dims).withColumn("p3", along(2)).withColumn("c1", F.floor(along(0) / wide)).withColumn("c2", F.floor(along(1) / wide))
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    spread = cells.withColumn("d1", F.explode(near)).withColumn("d2", F.explode(near)).select(F.col("id").alias("id_b"), F.col("v").alias("vb"), (F.col("c1") + F.col("d1")).alias("c1"), (F.col("c2") + F.col("d2")).alias("c2"))
-    pairs = cells.select(F.col("id").alias("id_a"), F.col("v").alias("va"), "c1", "c2").join(spread, ["c1", "c2"]).where("id_a < id_b")
+    spread = of_size.withColumn("d1", F.explode(near)).withColumn("d2", F.explode(near)).select(F.col("id").alias("id_b"), F.col("v").alias("vb"), F.col("p3").alias("q3"), (F.col("c1") + F.col("d1")).alias("c1"), (F.col("c2") + F.col("d2")).alias("c2"))
+    pairs = of_size.select(F.col("id").alias("id_a"), F.col("v").alias("va"), "p3", "c1", "c2").join(spread, ["c1", "c2"]).where((F.col("id_a") < F.col("id_b")) & (F.abs(F.col("p3") - F.col("q3")) < wide))
     return pairs.select("id_a", "id_b", distance("va", "vb", "l2").alias("distance")).where(F.col("distance") < tau)
 
 
@@ -168,63 +217,169 @@ def kmeans(x: np.ndarray, k: int, iterations: int = 10, seed: int = 42) -> np.nd
     return c
 
 
-def assign(centres: np.ndarray, metric: str, spill: float = 0.0):
-    """Adds the nearest list of each row; with ``spill`` also the second one that is least parallel to the residual."""
+def nearest_lists(x: np.ndarray, centres: np.ndarray, metric: str, spill: float) -> tuple[np.ndarray, np.ndarray | None]:
+    """The nearest list of each row; with ``spill`` also the second one that is least parallel to the residual."""
+    d = distances_np(x, centres, metric)
+    first = np.where(np.isnan(d), np.inf, d).argmin(1)
+    if not spill or len(centres) < 2:
+        return first, None
+    r = x - centres[first]
+    rr = np.maximum((r * r).sum(1), 1e-30)[:, None]
+    apart = (x * x).sum(1)[:, None] + (centres * centres).sum(1)[None] - 2 * x @ centres.T
+    away = apart + spill * ((x * r).sum(1)[:, None] - r @ centres.T) ** 2 / rr
+    away[np.arange(len(x)), first] = np.inf
+    return first, away.argmin(1)
+
+
+def assign(centres: np.ndarray, metric: str, spill: float, coder):
+    """Adds the code and the lists of each row to (id, v, ...); a spilled row comes twice."""
     dims = centres.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = len(batch)
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, dims) if n else np.empty((0, dims))
-            d = distances_np(x, centres, metric) if n else np.empty((0, len(centres)))
-            first = np.where(np.isnan(d), np.inf, d).argmin(1) if n else np.empty(0, np.int64)
-            keep, lists = np.arange(n), first
-            if spill and n and len(centres) > 1:
-                r = x - centres[first]
-                rr = np.maximum((r * r).sum(1), 1e-30)
-                away = ((x[:, None] - centres[None]) ** 2).sum(2) + spill * ((x[:, None] - centres[None]) * r[:, None]).sum(2) ** 2 / rr[:, None]
-                away[np.arange(n), first] = np.inf
-                keep, lists = np.concatenate([keep, np.arange(n)]), np.concatenate([first, away.argmin(1)])
-            taken = batch.take(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(lists.astype(np.int32))], names=["id", "v", "list"])
+            for at in range(0, len(batch), 4096):
+                part = batch.slice(at, 4096)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), dims)
+                first, second = nearest_lists(x, centres, metric, spill)
+                codes = [c.tobytes() for c in coder.encode(x)] if coder else [None] * len(part)
+                for lists in (first, second) if second is not None else (first,):
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(codes, pa.binary()), pa.array(lists.astype(np.int32))], names=[*part.schema.names, "code", "list"])
 
     return run
 
 
-class InvertedLists:
-    """Rows with their inverted list, and the centroids; ``probe`` searches the nearest lists exactly."""
+class VectorIndex:
+    """A stored index: rows (id, v, kept columns, code) partitioned by inverted list, and its model.
 
-    def __init__(self, rows: DataFrame, centres: np.ndarray, metric: str):
-        self.rows, self.centres, self.metric = rows, centres, metric
+    The current version is a small table of segment folders and the fitted model; ``append`` adds a segment
+    with the same model, so readers see an append as a whole or not at all.
+    """
 
-    def probe(self, queries: list[list[float]], k: int, probes: int | None = None) -> DataFrame:
-        """(query_idx, id, distance); with all lists probed the answer is exact. A spilled row counts once."""
-        q = np.array(queries, np.float64).reshape(-1, self.centres.shape[1])
-        probes = len(self.centres) if probes is None else max(1, min(probes, len(self.centres)))
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        held = read_current(spark, root).collect()
+        self.segments = sorted(r.segment for r in held)
+        self.centres, self.metric, self.coder, self.spill, self.keep = pickle.loads(bytes(held[0].model))
+        self.dims = self.centres.shape[1]
+
+    @property
+    def rows(self) -> DataFrame:
+        return union_all([self.spark.read.parquet(s) for s in self.segments])
+
+    def append(self, df: DataFrame, id_col: str, vec_col: str) -> None:
+        """Add all rows with an id and a valid vector of the index's dimension."""
+        model = (self.centres, self.metric, self.coder, self.spill, self.keep)
+        write_segment(df, id_col, vec_col, model, self.root, self.segments)
+        self.__init__(self.spark, self.root)
+
+    def ranked_lists(self, q: np.ndarray) -> np.ndarray:
         d = distances_np(q, self.centres, self.metric)
+        return np.argsort(np.where(np.isnan(d), np.inf, d), axis=1, kind="stable")
+
+    def probe(self, queries: list[list[float]], k: int, probes: int | None = None, over_fetch: int = 4, where: Column | None = None) -> DataFrame:
+        """(query_idx, id, distance) of the k nearest rows in the ``probes`` nearest lists of each query; a spilled row counts once.
+
+        Without a code, and with all lists probed, the answer is exact. With a code the k * over_fetch best
+        by code estimate are reranked by exact distance. ``where`` filters on kept columns before the ranking.
+        """
+        q = np.array(queries, np.float64).reshape(-1, self.dims)
+        probes = len(self.centres) if probes is None else max(1, min(probes, len(self.centres)))
         wanted = np.zeros((len(q), len(self.centres)), bool)
-        np.put_along_axis(wanted, np.argsort(np.where(np.isnan(d), np.inf, d), axis=1, kind="stable")[:, :probes], True, axis=1)
-        needed = [int(i) for i in np.flatnonzero(wanted.any(0))]
-        rows = self.rows.where(F.col("list").isin(needed)) if len(needed) < len(self.centres) else self.rows
-        found = rows.mapInArrow(batch_scan(q, 2 * k, self.metric, self.centres.shape[1], lambda lists: wanted[:, lists]), "query_idx int, id long, distance double")
-        return top_per(found.groupBy("query_idx", "id").agg(F.min("distance").alias("distance")), "query_idx", k)
+        np.put_along_axis(wanted, self.ranked_lists(q)[:, :probes], True, axis=1)
+        rows = self.rows if where is None else self.rows.where(where)
+        if probes < len(self.centres):
+            rows = rows.where(F.col("list").isin([int(i) for i in np.flatnonzero(wanted.any(0))]))
+        allowed = lambda lists: wanted[:, lists]
+        if self.coder is None:
+            found = rows.select("id", "v", "list").mapInArrow(batch_scan(q, 2 * k, self.metric, self.dims, allowed), "query_idx int, id long, distance double")
+            return top_per(found.groupBy("query_idx", "id").agg(F.min("distance").alias("distance")), "query_idx", k)
+        kept = k * over_fetch
+        guessed = rows.select("id", "code", "list").mapInArrow(code_scan(self.coder, q, 2 * kept if self.spill else kept, allowed), "query_idx int, id long, list int, guess double")
+        w = Window.partitionBy("query_idx").orderBy("guess", "id")
+        once = guessed.groupBy("query_idx", "id").agg(F.min(F.struct("guess", "list")).alias("g")).select("query_idx", "id", "g.guess", "g.list")
+        best = cut(once.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= kept).select("query_idx", "id", "list"))
+        # at most k * over_fetch rows a query; the lists they lie in are the only ones whose vectors are read
+        held = [r.list for r in best.select("list").distinct().collect()]
+        vectors = self.rows.where(F.col("list").isin(held)).select("id", "list", "v").join(F.broadcast(best), ["id", "list"])
+        exact = vectors.select("query_idx", "id", "v").mapInArrow(rerank(q, self.metric, self.dims), "query_idx int, id long, distance double")
+        return top_per(exact, "query_idx", k)
+
+
+def write_segment(df: DataFrame, id_col: str, vec_col: str, model: tuple, root: str, before: list[str]) -> None:
+    centres, metric, coder, spill, keep = model
+    dims = centres.shape[1]
+    rows = df.where(F.col(id_col).isNotNull() & valid_vector(vec_col, dims)).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v"), *keep)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", code binary, list int"
+    folder = f"{root}/data/{uuid.uuid4().hex}"
+    # by list and id, so that a list of any share of the rows is cut over tasks
+    rows.mapInArrow(assign(centres, metric, spill, coder), schema).repartitionByRange("list", "id").sortWithinPartitions("list", "id").write.partitionBy("list").parquet(folder)
+    table = [(s, bytearray(pickle.dumps(model))) for s in [*before, folder]]
+    publish(df.sparkSession.createDataFrame(table, "segment string, model binary").coalesce(1), root)
+
 
+def code_scan(coder, q: np.ndarray, kept: int, allowed):
+    """Per Arrow batch, the ``kept`` best code estimates of every query among the rows of its lists."""
 
-def ivf_build(df: DataFrame, id_col: str, vec_col: str, lists: int = 100, metric: str = "l2", soar_lambda: float = 0.0, seed: int = 42) -> InvertedLists:
-    """Inverted lists: centroids from the sample, every valid row assigned to its nearest list."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = len(batch)
+            if not n:
+                continue
+            ids, lists = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, -1)
+            guess = np.where(allowed(lists), coder.estimate(q, codes), np.inf)
+            c = min(kept, n)
+            top = np.argsort(guess, axis=1, kind="stable")[:, :c]
+            g = np.take_along_axis(guess, top, 1).ravel()
+            ok = np.isfinite(g)
+            at = top.ravel()[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q), dtype=np.int32), c)[ok]), pa.array(ids[at]), pa.array(lists[at].astype(np.int32)), pa.array(g[ok])], names=["query_idx", "id", "list", "guess"])
+
+    return run
+
+
+def rerank(q: np.ndarray, metric: str, dims: int):
+    """Exact distance of each row to its query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), dims)
+            d = np.array([distances_np(q[i : i + 1], v[None], metric)[0, 0] for i, v in zip(own, x)], np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], names=["query_idx", "id", "distance"])
+
+    return run
+
+
+def ivf_build(
+    df: DataFrame, id_col: str, vec_col: str, lists: int = 100, metric: str = "l2", soar_lambda: float = 0.0, seed: int = 42, folder: str | None = None, quantiser=None, keep: list[str] | None = None
+) -> VectorIndex:
+    """Store an index under ``folder`` (a scratch path if None): centroids and codebooks from the sample, every valid row in its nearest list.
+
+    ``quantiser`` makes a Quantiser from the sample; ``keep`` names further columns to store for filters.
+    """
     kind = metric_name(metric)
+    if clash := {"id", "v", "code", "list"} & set(keep or []):
+        raise InvalidParameter(f"kept columns clash with the index: {sorted(clash)}")
     sample = fit_rows(df, id_col, vec_col)
     if not len(sample):
         raise InvalidParameter("no vectors to index")
-    centres = kmeans(sample, lists, seed=seed)
-    rows = df.where(F.col(id_col).isNotNull() & valid_vector(vec_col, sample.shape[1])).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
-    return InvertedLists(rows.mapInArrow(assign(centres, kind, soar_lambda), "id long, v array<float>, list int"), centres, kind)
+    model = (kmeans(sample, lists, seed=seed), kind, quantiser(sample) if quantiser else None, soar_lambda, keep or [])
+    root = folder or scratch_path(df.sparkSession, "vectors")
+    write_segment(df, id_col, vec_col, model, root, [])
+    return VectorIndex(df.sparkSession, root)
 
 
 def ivfflat_knn(df: DataFrame, id_col: str, vec_col: str, queries: list[list[float]], k: int = 10, lists: int = 100, probes: int = 1, metric: str = "l2", seed: int = 42) -> DataFrame:
     return ivf_build(df, id_col, vec_col, lists, metric, seed=seed).probe(queries, k, probes)
 
 
+def vindex_assign(index: VectorIndex, df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, list) that the rows would get in an index."""
+    rows = df.where(F.col(id_col).isNotNull() & valid_vector(vec_col, index.dims)).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
+    return rows.mapInArrow(assign(index.centres, index.metric, 0.0, None), "id long, v array<float>, code binary, list int").select("id", "list")
+
+
 def hnsw_knn(df: DataFrame, id_col: str, vec_col: str, queries: list[list[float]], k: int = 10, m: int = 16, ef_construction: int = 64, ef_search: int = 40, metric: str = "l2") -> DataFrame:
     """The signature of graph-based search with its parameter checks; the answer is exact, since a graph built by insertion does not distribute."""
     if not 2 <= m <= 100 or not k <= max(ef_search, k) <= 1000 or not k <= max(ef_construction, k) <= 1000:
@@ -339,39 +494,13 @@ class RotationQuantiser(Quantiser):
         return np.sqrt(np.maximum((rq * rq).sum(1)[:, None] + norm[None] ** 2 - 2 * (rq @ unit.T) * norm[None], 0))
 
 
-def quantised_knn(df: DataFrame, id_col: str, vec_col: str, queries: list[list[float]], quantiser, k: int = 10, over_fetch: int = 4, metric: str = "l2") -> DataFrame:
-    """(query_idx, id, distance): the k * over_fetch best by code estimate, reranked by exact distance.
+def quantised_knn(df: DataFrame, id_col: str, vec_col: str, queries: list[list[float]], quantiser, k: int = 10, over_fetch: int = 4, metric: str = "l2", lists: int = 16) -> DataFrame:
+    """(query_idx, id, distance): the k * over_fetch best by stored code over all rows, reranked by exact distance.
 
     ``quantiser`` makes a Quantiser from the fitting sample. With k * over_fetch at least the number of
     rows the answer is exact.
     """
-    kind = metric_name(metric)
-    sample = fit_rows(df, id_col, vec_col)
-    dims = sample.shape[1]
-    coder = quantiser(sample)
-    q = np.array(queries, np.float64).reshape(-1, dims)
-    kept = k * over_fetch
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = len(batch)
-            if not n:
-                continue
-            ids = batch.column(0).to_numpy()
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, dims)
-            guess = coder.estimate(q, coder.encode(x))
-            c = min(kept, n)
-            top = np.argsort(guess, axis=1, kind="stable")[:, :c]
-            exact = np.take_along_axis(distances_np(q, x, kind), top, 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.arange(len(q), dtype=np.int32), c)), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(guess, top, 1).ravel()), pa.array(exact.ravel())], names=["query_idx", "id", "guess", "distance"]
-            )
-
-    rows = df.where(F.col(id_col).isNotNull() & valid_vector(vec_col, dims)).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
-    found = rows.mapInArrow(run, "query_idx int, id long, guess double, distance double")
-    w = Window.partitionBy("query_idx").orderBy("guess", "id")
-    best = found.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= kept).drop("__r", "guess")
-    return top_per(best, "query_idx", k)
+    return ivf_build(df, id_col, vec_col, lists, metric, quantiser=quantiser).probe(queries, k, over_fetch=over_fetch)
 
 
 def sbq_knn(df: DataFrame, id_col: str, vec_col: str, queries: list[list[float]], k: int = 10, bits: int = 1, over_fetch: int = 4, metric: str = "l2") -> DataFrame:
@@ -390,28 +519,50 @@ def rabitq_knn(df: DataFrame, id_col: str, vec_col: str, queries: list[list[floa
     return quantised_knn(df, id_col, vec_col, queries, lambda s: RotationQuantiser(s, bits), k, over_fetch, metric)
 
 
-def recommend_probes(index: InvertedLists, exact: DataFrame, queries: list[list[float]], k: int = 10, target: float = 0.95) -> int:
+def recommend_probes(index: VectorIndex, exact: DataFrame, queries: list[list[float]], k: int = 10, target: float = 0.95) -> int:
     """The least number of probed lists whose recall against ``exact`` meets the target: doubled first, then bisected."""
-    truth = {(r.query_idx, r.id) for r in exact.select("query_idx", "id").collect()}
 
-    def recall(p: int) -> float:
-        got = {(r.query_idx, r.id) for r in index.probe(queries, k, p).select("query_idx", "id").collect()}
-        return len(got & truth) / max(len(truth), 1)
+    def met(p: int) -> bool:
+        return recall_at(index.probe(queries, k, p), exact) >= target
 
     high, most = 1, len(index.centres)
-    while high < most and recall(high) < target:
+    while high < most and not met(high):
         high *= 2
     low, high = high // 2 + 1, min(high, most)
     while low < high:
         mid = (low + high) // 2
-        low, high = (low, mid) if recall(mid) >= target else (mid + 1, high)
+        low, high = (low, mid) if met(mid) else (mid + 1, high)
     return high
 
 
-def scan_stats(index: InvertedLists, queries: list[list[float]], probes: int) -> DataFrame:
-    """Lists probed and rows scanned of each query."""
-    q = np.array(queries, np.float64)
-    near = np.argsort(distances_np(q, index.centres, index.metric), axis=1, kind="stable")[:, :probes]
-    wanted = [(i, int(p)) for i, row in enumerate(near) for p in row]
-    probed = index.rows.sparkSession.createDataFrame(wanted, "query_idx int, list int")
-    return probed.join(index.rows.groupBy("list").agg(F.count(F.lit(1)).alias("n")), "list", "left").groupBy("query_idx").agg(F.count(F.lit(1)).alias("lists_probed"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows_scanned"))
+def recall_at(found: DataFrame, exact: DataFrame) -> float:
+    """Share of the exact (query_idx, id) that were found; both hold k rows a query at most."""
+    truth = exact.select("query_idx", "id")
+    total = truth.count()
+    return truth.join(found.select("query_idx", "id"), ["query_idx", "id"], "left_semi").count() / total if total else 1.0
+
+
+def explain_scan(index: VectorIndex, queries: list[list[float]], probes: int) -> DataFrame:
+    """(query_idx, lists, rows): the lists a search would read for each query, nearest first, and their rows."""
+    near = index.ranked_lists(np.array(queries, np.float64).reshape(-1, index.dims))[:, : max(1, probes)]
+    spark = index.spark
+    wanted = spark.createDataFrame([(i, n, int(p)) for i, row in enumerate(near) for n, p in enumerate(row)], "query_idx int, n int, list int")
+    sizes = index.rows.groupBy("list").agg(F.count(F.lit(1)).alias("rows"))
+    return wanted.join(sizes, "list", "left").groupBy("query_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "list"))), lambda x: x["list"]).alias("lists"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+
+
+def scan_stats(index: VectorIndex, queries: list[list[float]], probes: int) -> DataFrame:
+    """(query_idx, lists_probed, rows_scanned) of each query."""
+    return explain_scan(index, queries, probes).select("query_idx", F.size("lists").cast("long").alias("lists_probed"), F.col("rows").alias("rows_scanned"))
+
+
+def timed_scan(index: VectorIndex, queries: list[list[float]], k: int, probes: int) -> tuple[list, float]:
+    """The rows of a search and the seconds it took."""
+    began = time.monotonic()
+    return index.probe(queries, k, probes).collect(), time.monotonic() - began
+
+
+def decoded_bytes(index: VectorIndex, probes_lists: list[int]) -> DataFrame:
+    """(list, vectors, vector_bytes, code_bytes): what reading these lists decodes, with and without vectors."""
+    rows = index.rows.where(F.col("list").isin(list(probes_lists)))
+    return rows.groupBy("list").agg(F.count(F.lit(1)).alias("vectors"), F.sum(F.size("v") * 4).alias("vector_bytes"), F.coalesce(F.sum(F.octet_length("code")), F.lit(0)).alias("code_bytes"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,7 +123,27 @@ def d2_ivf_cosine_full_probe(s, d):
 @query()
 def d2_ivf_probed(s, d):
     q = every_hundredth(s, d)
-    return with_ids(knn.ivfflat_knn(emb(s, d), "vec_id", "embedding", [v for _, v in q], 10, 16, 10), [i for i, _ in q])
+    return with_ids(knn.ivfflat_knn(emb(s, d), "vec_id", "embedding", [v for _, v in q], 10, 16, 12), [i for i, _ in q])
+
+
+def reaches(s: SparkSession, d: str, cases: dict[str, DataFrame]) -> DataFrame:
+    """One row for each index: the queries and whether at least nine tenths of their exact nearest ten were found."""
+    q = every_hundredth(s, d)
+    exact = cut(knn.knn_batch(emb(s, d), "vec_id", "embedding", [v for _, v in q], 10))
+    return s.createDataFrame([(name, len(q), bool(knn.recall_at(found, exact) >= 0.9)) for name, found in cases.items()], "index string, queries long, reaches boolean")
+
+
+def reached_sql(names: list[str]) -> str:
+    return f"SELECT index, (SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0) AS queries, true AS reaches FROM (VALUES {', '.join(f'({n!r})' for n in names)}) t(index)"
+
+
+@query(reached_sql(["ivf", "soar"]))
+def d2_probed_recall(s, d):
+    """Twelve of 16 lists, and nine with spill."""
+    q = [v for _, v in every_hundredth(s, d)]
+    index = knn.ivf_build(emb(s, d), "vec_id", "embedding", 16)
+    spilled = knn.ivf_build(emb(s, d), "vec_id", "embedding", 16, soar_lambda=1.0)
+    return reaches(s, d, {"ivf": index.probe(q, 10, 12), "soar": spilled.probe(q, 10, 9)})
 
 
 @query(batch_sql("list_distance({a}, {b})"))
@@ -133,8 +154,8 @@ def d9_soar_full_probe(s, d):
 @query(batch_sql("list_distance({a}, {b})", "b.label <> 4"))
 def d12_labelled_ivf(s, d):
     q = every_hundredth(s, d)
-    index = knn.ivf_build(emb(s, d).where("label <> 4"), "vec_id", "embedding", 16)
-    return with_ids(index.probe([v for _, v in q], 10), [i for i, _ in q]).select("query_id", "id")
+    index = knn.ivf_build(emb(s, d), "vec_id", "embedding", 16, keep=["label"])
+    return with_ids(index.probe([v for _, v in q], 10, where=F.col("label") != 4), [i for i, _ in q]).select("query_id", "id")
 
 
 #: Over-fetch of each quantiser at MEASURED rows, where recall at 10 is at least 0.9; more rows get more in proportion.
@@ -152,6 +173,13 @@ def quantised(kind: str) -> Query:
     return run
 
 
+@query(reached_sql(list(OVER_FETCH)))
+def d3_quantised_recall(s, d):
+    found = {kind: quantised(kind)(s, d) for kind in OVER_FETCH}
+    at = s.createDataFrame([(i, n) for n, (i, _) in enumerate(every_hundredth(s, d))], "query_id long, query_idx int")
+    return reaches(s, d, {kind: f.join(F.broadcast(at), "query_id") for kind, f in found.items()})
+
+
 for _name, _kind in (("d3_sbq_knn", "sbq"), ("d5_pq_knn", "pq"), ("d6_sq8_knn", "sq8"), ("d7_anisotropic_pq_knn", "aq"), ("d8_rabitq_knn", "rabitq")):
     QUERIES[_name] = quantised(_kind)
 
@@ -167,10 +195,21 @@ def b_vector_text_round_trip(s, d):
     return emb(s, d).select("vec_id", F.size(back).alias("dims"), (back == F.col("embedding")).alias("valid"))
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS query_idx, CAST(16 AS BIGINT) AS lists_probed, (SELECT count(*) FROM embeddings) AS rows_scanned FROM embeddings WHERE vec_id % 100 = 0")
+@query(
+    """SELECT CAST(row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS INTEGER) AS query_idx, p AS lists_probed, p = 16 AS every_row, true AS as_stored
+    FROM embeddings, (VALUES (CAST(3 AS BIGINT)), (16)) t(p) WHERE vec_id % 100 = 0"""
+)
 def d16_scan_stats(s, d):
+    """Whether 3 and 16 of 16 lists read every row, and whether the figures are those of the lists as assigned anew."""
     index = knn.ivf_build(emb(s, d), "vec_id", "embedding", 16)
-    return knn.scan_stats(index, [v for _, v in every_hundredth(s, d)], 16)
+    q, total = [v for _, v in every_hundredth(s, d)], emb(s, d).count()
+    sizes = {r.list: r.n for r in knn.vindex_assign(index, emb(s, d), "vec_id", "embedding").groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
+    near = index.ranked_lists(np.array(q))
+    parts = []
+    for p in (3, 16):
+        want = s.createDataFrame([(i, sum(sizes.get(int(x), 0) for x in row[:p])) for i, row in enumerate(near)], "query_idx int, want long")
+        parts.append(knn.scan_stats(index, q, p).join(F.broadcast(want), "query_idx").select("query_idx", "lists_probed", (F.col("rows_scanned") == total).alias("every_row"), (F.col("rows_scanned") == F.col("want")).alias("as_stored")))
+    return parts[0].unionByName(parts[1])
 
 
 @query()
@@ -381,14 +420,11 @@ def i10_embed(s, d):
 
 
 @query(
-    """SELECT vectorizer_id, source_pk, min(job_id) AS job_id, arg_max(op, job_id) AS op, min(enqueued_at) AS enqueued_at, max(attempts) AS attempts FROM vectorizer_queue WHERE state = 'pending' AND source_pk IS NOT NULL AND op IS NOT NULL AND vectorizer_id IS NOT NULL
-    GROUP BY 1, 2 HAVING count(DISTINCT job_id) = count(*)"""
+    """SELECT vectorizer_id, source_pk, min(job_id) AS job_id, struct_extract(max({'j': job_id, 'o': op}) FILTER (WHERE op IS NOT NULL), 'o') AS op, min(enqueued_at) AS enqueued_at, max(attempts) AS attempts
+    FROM (SELECT * REPLACE (lower(trim(op)) AS op) FROM vectorizer_queue WHERE state = 'pending') GROUP BY 1, 2"""
 )
 def j2_coalesced_jobs(s, d):
-    """Keys whose deliveries are all different jobs; repeated deliveries of one job may spell its op differently."""
-    q = table(s, d, "vectorizer_queue").where("state = 'pending' and source_pk is not null and op is not null and vectorizer_id is not null")
-    once = q.groupBy("vectorizer_id", "source_pk").agg(F.count_distinct("job_id").alias("a"), F.count(F.lit(1)).alias("b")).where("a = b").drop("a", "b")
-    return vz.coalesce_jobs(q).join(once, ["vectorizer_id", "source_pk"], "left_semi")
+    return vz.coalesce_jobs(table(s, d, "vectorizer_queue"))
 
 
 @query("SELECT vectorizer_id, state, count(*) AS jobs, min(enqueued_at) AS oldest FROM vectorizer_queue GROUP BY 1, 2")
