@@ -1,4 +1,7 @@
-import pytest
+import random
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tidemill.llm import leak
 from tidemill.llm.leak import fold, fold_offsets, leaked_items
@@ -36,6 +39,25 @@ def test_empty_tables_and_size_bound(spark, monkeypatch):
     q = spark.createDataFrame([(1, ITEM, None)], "item_id long, item_text string, answer string")
     assert leaked_items(d, "doc_id", "text", q.limit(0), "item_id", ["item_text"]).count() == 0
     assert leaked_items(d.limit(0), "doc_id", "text", q, "item_id", ["item_text"]).count() == 0
-    monkeypatch.setattr(leak, "MAX_ITEM_BYTES", 10)
-    with pytest.raises(ValueError):
-        leaked_items(d, "doc_id", "text", q, "item_id", ["item_text"])
+    many = spark.createDataFrame([(i, ITEM, None) for i in range(5)], "item_id long, item_text string, answer string")
+    whole = sorted(leaked_items(d, "doc_id", "text", many, "item_id", ["item_text"]).collect())
+    monkeypatch.setattr(leak, "PART_BYTES", 2 * len(ITEM))  # three automata
+    assert len(whole) == 5 and sorted(leaked_items(d, "doc_id", "text", many, "item_id", ["item_text"]).collect()) == whole
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("ab"), max_size=60), st.lists(st.lists(st.sampled_from("abc"), max_size=40), max_size=4), st.integers(1, 7))
+def test_passages_are_those_of_brute_force(doc, items, words):
+    found = leak.Scanner([(n, "f", " ".join(w)) for n, w in enumerate(items)], words).passages(fold(" ".join(doc)))
+    runs = lambda w: {tuple(w[i : i + words]) for i in range(len(w) - words + 1)}
+    for n, w in enumerate(items):
+        covered = {i + k for i in range(len(doc) - words + 1) if tuple(doc[i : i + words]) in runs(w) for k in range(words)}
+        assert {i for a, b in found.get((n, "f"), []) for i in range(a, b)} == covered
+
+
+def test_the_automaton_grows_with_the_items():
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(2000)]
+    texts = [(i, "f", " ".join(rng.choices(words, k=60))) for i in range(200)]
+    stats = leak.Scanner(texts, 12).tree.get_stats()
+    assert stats["nodes_count"] <= sum(len(t) for _, _, t in texts) + 2000

@@ -25,6 +25,18 @@ def test_boundaries_are_preferred():
     assert split_spans("x" * 25, 10, 2) == [(0, 10), (8, 18), (16, 25)]
 
 
+def test_higher_boundaries_end_pieces():
+    """A short section end stays a piece end although the next section would fill the piece."""
+    long = "Alpha beta gamma. Delta epsilon zeta. Eta theta."
+    text = f"# A\n\n{long}\n\n# B\n\nShort one.\n\n# C\n\nShort two."
+    pieces = [text[a:b] for a, b in split_spans(text, 30, 0)]
+    assert pieces == ["# A\n\n", "Alpha beta gamma. ", "Delta epsilon zeta. ", "Eta theta.\n\n", "# B\n\nShort one.\n\n", "# C\n\nShort two."]
+    words = "one two three four five six seven eight"
+    spans = split_spans(words, 14, 6)
+    assert all(a == 0 or words[a - 1] == " " for a, _ in spans) and all(b == len(words) or words[b - 1] == " " for _, b in spans)
+    assert all(c < b for (_, b), (c, _) in zip(spans, spans[1:]))
+
+
 def test_edge_rows(spark):
     rows = [
         (1, None, 10, 2, "c"), (2, "", 10, 2, "c"), (3, "short", 10, 2, "c"), (4, "a" * 30, 10, None, "c"), (5, "b" * 30, None, 2, "c"), (6, "c" * 30, 0, 2, "c"), (7, "word " * 40, 20, 99, "c"),

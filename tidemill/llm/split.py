@@ -1,16 +1,18 @@
 """Splitting of oversized texts at natural boundaries.
 
-The separators form a hierarchy: section, paragraph, sentence or line, word, character. Pieces are filled
-greedily up to the limit and end at the last boundary of the highest level that leaves the piece at least
-half full; a level that offers none hands over to the next. Each piece starts inside the one before, at
-the first word of its last ``overlap`` characters, so pieces are exact substrings and the text can be put
-together again from their offsets.
+The separators form a hierarchy: section, paragraph, sentence or line, word, character. A text over the limit
+is split at its sections. Parts are packed greedily into a piece as long as it stays within the limit; a part
+that does not fit into a piece of its own closes the piece before it, is split at the next lower level by
+the same rule, and its last piece is closed in turn, so the boundaries of the higher level stay piece ends.
+Each piece starts inside the one before, at the first word that begins in its last ``overlap`` characters
+(or exactly so far back if none does), so pieces are exact substrings and the text can be put together
+again from their offsets.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,35 +28,54 @@ LEVELS = [
 ]
 
 
-def boundaries(text: str) -> list[list[int]]:
-    """Sorted cut positions of each level."""
-    return [[m.end() for m in level.finditer(text)] for level in LEVELS]
+class Packer:
+    """Cuts one text; a piece is known by its end and by its start, which reaches into the piece before."""
+
+    def __init__(self, text: str, size: int, overlap: int):
+        self.text, self.size, self.overlap = text, size, min(overlap, size - 1)
+        self.words = [m.end() for m in LEVELS[-1].finditer(text)]
+        self.spans: list[tuple[int, int]] = []
+        self.start = self.end = self.fresh = 0  # of the open piece; from ``fresh`` on it is new text
+
+    def start_at(self, cut: int) -> int:
+        """Where the piece begins that follows the open one when this ends at ``cut``; always behind the start of that."""
+        back = max(cut - self.overlap, self.start + 1)
+        at = bisect_left(self.words, back)
+        return self.words[at] if at < len(self.words) and self.words[at] < cut else back
+
+    def close(self) -> None:
+        if self.end > self.fresh:
+            self.spans.append((self.start, self.end))
+            self.start, self.fresh = self.start_at(self.end), self.end
+
+    def add(self, a: int, b: int, level: int) -> None:
+        """Pack the part from ``a`` to ``b``, which has no boundary above ``level``."""
+        if b - self.start <= self.size:
+            self.end = b
+        elif a > self.fresh and b - self.start_at(a) <= self.size:
+            self.close()
+            self.end = b
+        elif level == len(LEVELS):
+            while b - self.start > self.size:
+                self.end = self.start + self.size
+                self.close()
+            self.end = b
+        else:
+            cuts = [m.end() for m in LEVELS[level].finditer(self.text, a, b) if a < m.end() < b]
+            if cuts and level:
+                self.close()
+            for x, y in zip([a, *cuts], [*cuts, b]):
+                self.add(x, y, level + 1)
+            if cuts and level:
+                self.close()
 
 
 def split_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     """Offsets of the pieces: each at most ``size`` characters, covering the text, consecutive ones sharing up to ``overlap``."""
-    n = len(text)
-    if n <= size:
-        return [(0, n)] if n else []
-    overlap = max(0, min(overlap, size - 1))
-    cuts = boundaries(text)
-    words = cuts[-1]
-    spans, start = [], 0
-    while n - start > size:
-        limit, end = start + size, 0
-        for level, positions in enumerate(cuts):
-            at = bisect_right(positions, limit)
-            least = start + max(overlap + 1, size // 2 if level < len(cuts) - 1 else 1)
-            if at and positions[at - 1] >= least:
-                end = positions[at - 1]
-                break
-        end = end or limit
-        spans.append((start, end))
-        back = end - overlap
-        at = bisect_left(words, back)
-        start = words[at] if overlap and at < len(words) and words[at] <= back + overlap // 2 else back
-    spans.append((start, n))
-    return spans
+    packer = Packer(text, size, overlap)
+    packer.add(0, len(text), 0)
+    packer.close()
+    return packer.spans
 
 
 def cut_texts(keys: pa.Schema):

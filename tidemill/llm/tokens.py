@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 #: Pre-token pattern of the vocabulary (a fixed value of the published byte-level BPE).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CHUNK = 16_384
-OVERLAP = 512
+CHUNK = 4_096
+OVERLAP = 256
 #: A boundary this close to the end of a chunk may come from the cut.
 MARGIN = 64
 
@@ -94,7 +94,7 @@ def cut_chunks(chunk: int, overlap: int):
                 bases = list(range(0, len(text), chunk))
                 last = [b + chunk >= len(text) for b in bases]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row] * len(bases), pa.int64()), pa.array(range(len(bases)), pa.int32()), pa.array(bases, pa.int32()), pa.array(last), pa.array([text[b : b + chunk + overlap] for b in bases], pa.string())],
+                    [pa.array([row] * len(bases), pa.string()), pa.array(range(len(bases)), pa.int32()), pa.array(bases, pa.int32()), pa.array(last), pa.array([text[b : b + chunk + overlap] for b in bases], pa.string())],
                     names=["row", "k", "base", "last", "chunk"],
                 )
 
@@ -107,7 +107,7 @@ def cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, text, stops in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "stops"))):
             cuts = [0, *(stops or []), len(text)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([row] * (len(cuts) - 1), pa.int64()), pa.array(cuts[:-1], pa.int32()), pa.array([text[a:b] for a, b in zip(cuts, cuts[1:])], pa.string())], names=["row", "start", "piece"]
+                [pa.array([row] * (len(cuts) - 1), pa.string()), pa.array(cuts[:-1], pa.int32()), pa.array([text[a:b] for a, b in zip(cuts, cuts[1:])], pa.string())], names=["row", "start", "piece"]
             )
 
 
@@ -124,11 +124,11 @@ def token_ids(df: DataFrame, doc_id: str, text: str, vocabulary: str, chunk: int
     is_long = F.coalesce(F.char_length("text") > chunk, F.lit(False))
     kind = source.schema["doc_id"].dataType.simpleString()
     short = source.where(~is_long).select("doc_id", F.col("text").alias("piece")).mapInArrow(encode_rows(ranks, ["doc_id"]), f"doc_id {kind}, ids array<int>")
-    rows = source.where(is_long).withColumn("row", F.xxhash64("text"))
+    rows = source.where(is_long).withColumn("row", F.sha2("text", 256))  # a cryptographic hash stands for the text
     # equal long texts are encoded once and joined back to every row
     texts = rows.groupBy("row").agg(F.first("text").alias("text"))
-    spread = texts.mapInArrow(cut_chunks(chunk, overlap), "row long, k int, base int, last boolean, chunk string").repartition("row", "k")
-    marks = spread.mapInArrow(pretokenise(chunk, overlap, margin), "row long, k int, base int, heads array<int>, tails array<int>")
+    spread = texts.mapInArrow(cut_chunks(chunk, overlap), "row string, k int, base int, last boolean, chunk string").repartition("row", "k")
+    marks = spread.mapInArrow(pretokenise(chunk, overlap, margin), "row string, k int, base int, heads array<int>, tails array<int>")
     w = Window.partitionBy("row").orderBy("k")
     stitch = F.array_min(F.array_intersect(F.col("tails"), F.lead("heads").over(w)))
     bounds = marks.withColumn("stitch", stitch).withColumn("is_end", F.lead("k").over(w).isNull())
@@ -136,7 +136,7 @@ def token_ids(df: DataFrame, doc_id: str, text: str, vocabulary: str, chunk: int
     gap = F.min(F.when(F.col("stitch").isNull() & ~F.col("is_end"), F.col("k"))).over(Window.partitionBy("row"))
     proven = bounds.withColumn("gap", gap).where(F.col("stitch").isNotNull() & (F.col("gap").isNull() | (F.col("k") < F.col("gap"))))
     stops = proven.groupBy("row").agg(F.array_sort(F.collect_set("stitch")).alias("stops"))
-    pieces = texts.join(stops, "row", "left").mapInArrow(cut_pieces, "row long, start int, piece string").repartition("row", "start")
-    encoded = pieces.mapInArrow(encode_rows(ranks, ["row", "start"]), "row long, start int, ids array<int>")
+    pieces = texts.join(stops, "row", "left").mapInArrow(cut_pieces, "row string, start int, piece string").repartition("row", "start")
+    encoded = pieces.mapInArrow(encode_rows(ranks, ["row", "start"]), "row string, start int, ids array<int>")
     whole = encoded.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "ids"))).alias("p")).select("row", F.flatten(F.col("p.ids")).alias("ids"))
     return short.unionByName(rows.select("doc_id", "row").join(whole, "row").select("doc_id", "ids"))
