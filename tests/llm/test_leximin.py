@@ -1,7 +1,8 @@
 import numpy as np
 import pyarrow as pa
 
-from tidemill.llm.leximin import Block, first_pass, leximin_top, lexeme_counts, skyband
+from tidemill.llm import leximin
+from tidemill.llm.leximin import Block, cosines, leximin_top, lexeme_counts, nearest_pass, place_pass, skyband, unit_rows
 
 DOCS = "doc_id string, text_tsv string, embedding array<float>, updated_at int, q long, cos string"
 QUERIES = "query_id long, query_tsq string, query_vector array<float>, extra int"
@@ -79,6 +80,28 @@ def test_edge_rows(spark):
 
 def test_copies_of_an_embedding_are_cut_by_id():
     names = [f"d{i:04}" for i in reversed(range(3000))]
-    batch = pa.RecordBatch.from_arrays([pa.array(names), pa.nulls(3000, pa.string()), pa.array([[1.0, 0.5]] * 3000, pa.list_(pa.float32()))], names=["doc_id", "tsv", "vector"])
-    kept = next(first_pass(Block([(1, None, [1.0, 0.0])], 2), 3)(iter([batch])))
-    assert sorted(kept.column("doc_id").to_pylist()) == ["d0000", "d0001", "d0002"]
+    batch = pa.RecordBatch.from_arrays([pa.array(names), pa.array([[1.0, 0.5]] * 3000, pa.list_(pa.float32()))], names=["doc_id", "vector"])
+    parts = [batch.slice(at, 700) for at in range(0, 3000, 700)]
+    kept = next(nearest_pass(Block([(1, None, [1.0, 0.0])], 2), 3)(iter(parts)))
+    assert sorted(kept.column("doc_id").to_pylist()) == [f"d000{i}" for i in range(6)]
+
+
+def test_places_with_and_without_skipping(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([c + 0.1 * rng.normal(size=(400, 8)) for c in rng.normal(size=(12, 8))]).astype("f4")  # clusters one after the other
+    q = x[::97] + 0.01
+    block = Block([(i, None, v.tolist()) for i, v in enumerate(q)], 8)
+    want = cosines(unit_rows(pa.array(x.tolist(), pa.list_(pa.float32())), 8), block.vectors)
+    limits = {i: np.quantile(want[:, i], [0.2, 0.9, 0.999]).astype("f4").tolist() for i in range(len(q))}
+    batch = pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float32()))], names=["vector"])
+    monkeypatch.setattr(leximin, "TILE", 200)
+    out = next(place_pass(block, limits)(iter([batch]))).to_pylist()
+    assert len(out) == 3 * len(q) and all(r["above"] == (want[:, r["q"]] > np.float32(r["cos"])).sum() for r in out)
+
+
+def test_blocks_do_not_change_the_result(spark):
+    rng = np.random.default_rng(6)
+    docs = [(f"d{i:03}", " ".join(f"'w{k}':{','.join('1' * rng.integers(1, 4))}" for k in rng.choice(9, 3, replace=False)), rng.normal(size=2).astype("f4").tolist()) for i in range(200)]
+    queries = [(i, f"'w{i % 9}' & 'w{(i + 1) % 9}'" if i % 5 else "'w1'", rng.normal(size=2).tolist()) for i in range(30)]
+    one, many = run(spark, docs, queries), run(spark, docs, queries, block=7)
+    assert one == many == {q[0]: brute(docs, q, 3) for q in queries}

@@ -5,11 +5,18 @@ score stands below all that have it and has percentile 0). A document's percenti
 and compared lexicographically, the larger first: a weak score cannot be masked by a strong one, and the
 range of a score has no influence.
 
-Execution: queries are taken in blocks of ``QUERY_BLOCK`` against all documents. The first pass scores a
-batch of documents against a block with one matrix product and keeps, for each query, only documents that
-fewer than ``top`` documents of the batch beat in both scores, since no other can be among the first
-``top`` (the skyband), with the histogram of text scores. The second pass counts for each of these few how
-many documents of the collection score higher. Document vectors are never shuffled.
+A document with both scores comes before all with one, so most queries are settled among the documents that
+match their words. Up to ``QUERY_BLOCK`` queries are taken at once:
+
+1. Words: a document finds the queries whose rarest word it has, and cosines are taken for these pairs only.
+   Of them a task keeps for each query what fewer than ``top`` others beat in both scores, since no other
+   can be among the first ``top`` (the skyband), and the histogram of text scores.
+2. Vectors: only queries with fewer than ``top`` such documents also look for the nearest ones.
+3. Places: for the few candidates it is counted how many documents have a higher cosine. Documents lie
+   sorted by cluster, and a stretch of them that is wholly nearer or farther than a query's candidates (by
+   its centre and radius) is counted or skipped without computing its cosines.
+
+Document vectors are shuffled once, when repeated ids are reduced to one row.
 """
 
 from __future__ import annotations
@@ -24,11 +31,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.operators.knn import kmeans
 from tidemill.session import cut
 
-#: Queries held by a task at once: vectors and lexemes of a block are the only data sent to all tasks.
-QUERY_BLOCK = 4096
-TILE = 1024
+#: Queries of one pass over the documents: their vectors and words are the only data sent to all tasks.
+QUERY_BLOCK = 65_536
+#: Queries and documents of one matrix of cosines.
+QUERY_TILE, TILE = 4096, 512
+#: Clusters that documents are sorted by, and the vectors they are fitted on (smallest hashes of the id).
+CLUSTERS, FIT_ROWS = 64, 8192
 LEXEME = re.compile(r"'((?:[^'\\]|''|\\.)*)'(?::([0-9A-Da-d,]+))?")
 QUOTED = re.compile(r"'((?:[^']|'')*)'")
 
@@ -41,25 +52,29 @@ def lexeme_counts(tsv: str | None) -> dict[str, int]:
     return found
 
 
+def unit_rows(column: pa.Array, dims: int) -> np.ndarray:
+    """Vectors of length one; NaN where a row has no usable vector."""
+    ok = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(column), dims), False))
+    x = np.full((len(column), dims), np.nan)
+    x[ok] = column.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    x[~np.isfinite(x).all(axis=1)] = np.nan
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
 class Block:
-    """A block of queries: unit vectors, and for each lexeme the queries that need it."""
+    """A block of queries: unit vectors (NaN if unusable), and for each word the queries whose rarest word it is."""
 
-    def __init__(self, rows: list[tuple[int, str | None, list[float] | None]], dims: int):
+    def __init__(self, rows: list[tuple[int, str | None, list[float] | None]], dims: int, df: dict[str, int] | None = None):
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.dims = dims
-        self.vectors = np.full((len(rows), dims), np.nan, np.float32)
-        self.wants: list[list[str]] = []
-        for i, (_, tsq, vector) in enumerate(rows):
-            self.wants.append(sorted(set(QUOTED.findall(tsq or ""))))
-            if vector is not None and len(vector) == dims and all(x is not None for x in vector):
-                v = np.array(vector, np.float64)
-                if np.isfinite(v).all() and v.any():
-                    self.vectors[i] = v / np.linalg.norm(v)
-        # a query is looked up by its rarest-looking (longest) lexeme, then checked in full
+        lists = pa.array([None if r[2] is None else list(r[2]) for r in rows], pa.list_(pa.float64()))
+        self.vectors = unit_rows(lists, dims) if rows else np.empty((0, dims))
+        self.wants = [sorted(set(QUOTED.findall(r[1] or ""))) for r in rows]
         self.by_lexeme: dict[str, list[int]] = defaultdict(list)
         for i, w in enumerate(self.wants):
             if w:
-                self.by_lexeme[max(w, key=lambda x: (len(x), x))].append(i)
+                self.by_lexeme[min(w, key=lambda x: ((df or {}).get(x, 0), -len(x), x))].append(i)
 
     def text_scores(self, tsvs: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document numbers, query numbers and text scores of the matches."""
@@ -75,15 +90,20 @@ class Block:
                             s.append(sum(counts[w] for w in self.wants[i]))
         return np.array(d, np.int64), np.array(q, np.int64), np.array(s, np.int64)
 
-    def cosines(self, column: pa.Array) -> np.ndarray:
-        """Documents by queries; NaN where either has no usable vector."""
-        ok = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(column), self.dims), False))
-        x = np.full((len(column), self.dims), np.nan, np.float64)
-        x[ok] = column.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, self.dims)
-        x[~np.isfinite(x).all(axis=1)] = np.nan
-        with np.errstate(invalid="ignore", divide="ignore"):
-            x /= np.sqrt((x * x).sum(axis=1))[:, None]
-        return x.astype(np.float32) @ self.vectors.T
+    def part(self, own: np.ndarray) -> "Block":
+        """Some of the queries, for their vectors only."""
+        out = Block([], self.dims)
+        out.ids, out.vectors = self.ids[own], self.vectors[own]
+        return out
+
+
+def pair_cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of unit rows in single precision, computed in double so that they do not depend on the order of the sums."""
+    return (x * y).sum(axis=1).astype(np.float32)
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x @ y.T).astype(np.float32)
 
 
 def skyband(text: np.ndarray, cos: np.ndarray, top: int) -> np.ndarray:
@@ -98,6 +118,12 @@ def skyband(text: np.ndarray, cos: np.ndarray, top: int) -> np.ndarray:
 
 
 KINDS = "q long, doc_id string, text long, cos float, n long"
+ARROW_KINDS = (pa.int64(), pa.string(), pa.int64(), pa.float32(), pa.int64())
+Found = tuple[str, int | None, float | None]  # doc_id, text score, cosine
+
+
+def rows_of(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], k) for c, k in enumerate(ARROW_KINDS)], names=["q", "doc_id", "text", "cos", "n"])
 
 
 def first_best(cos: np.ndarray, c: int) -> np.ndarray:
@@ -110,81 +136,139 @@ def first_best(cos: np.ndarray, c: int) -> np.ndarray:
     return np.sort(part, axis=0)
 
 
+def kept_of(held: list[Found], top: int) -> list[Found]:
+    """The skyband of the documents with both scores, and the ``top`` best with one only; smaller ids win ties."""
+    held = sorted(held, key=lambda f: f[0])
+    both = [f for f in held if f[1] is not None and f[2] is not None]
+    keep = [both[i] for i in skyband(np.array([f[1] for f in both], np.float64), np.array([f[2] for f in both], np.float64), top)]
+    keep += sorted((f for f in held if f[2] is None), key=lambda f: -f[1])[:top]
+    return keep + sorted((f for f in held if f[1] is None), key=lambda f: -f[2])[:top]
+
+
 def first_pass(block: Block, top: int):
-    """Rows with a doc_id are candidates; rows without one say how many documents of this batch have the text score."""
+    """Candidates of each query by its words; rows without a doc_id say how many documents of this task have the text score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[Found]] = defaultdict(list)
+        histogram: Counter[tuple[int, int]] = Counter()
         for batch in batches:
-            batch = batch.take(pc.sort_indices(batch.column("doc_id")))  # so that of equal cosines the smaller ids are kept
-            names = np.array(batch.column("doc_id").to_pylist(), dtype=object)
-            out: list[tuple] = []
             d, q, s = block.text_scores(batch.column("tsv").to_pylist())
-            matched = dict()
-            order = np.argsort(q, kind="stable")
-            for i in order:
-                matched.setdefault(int(q[i]), []).append(int(i))
-            best_d: list[np.ndarray] = []
-            best_c: list[np.ndarray] = []
-            cos_of = np.full(len(d), np.nan, np.float32)
-            for a in range(0, len(names), TILE):
-                cos = block.cosines(batch.column("vector").slice(a, TILE))
-                here = (d >= a) & (d < a + len(cos))
-                cos_of[here] = cos[d[here] - a, q[here]]
-                cos[d[here] - a, q[here]] = np.nan  # those with both scores are looked at together below
-                cos[np.isnan(cos)] = -2
-                c = min(top, len(cos))
-                part = first_best(cos, c)
-                best_d.append(part + a)
-                best_c.append(np.take_along_axis(cos, part, 0))
-            if best_d:
-                every_d, every_c = np.concatenate(best_d), np.concatenate(best_c)
-                c = min(top, len(every_d))
-                part = first_best(every_c, c)
-                for col in range(every_d.shape[1]):
-                    for r in part[:, col]:
-                        if every_c[r, col] > -1.5:
-                            out.append((int(block.ids[col]), names[every_d[r, col]], None, float(every_c[r, col]), None))
-            for col, own in matched.items():
-                own = np.array(own)
-                qid, ts, cs = int(block.ids[col]), s[own], cos_of[own]
-                out += [(qid, None, int(t), None, n) for t, n in Counter(ts.tolist()).items()]
-                both = own[~np.isnan(cs)]
-                both = both[np.argsort(names[d[both]])] if len(both) else both
-                for i in both[skyband(s[both], cos_of[both], top)] if len(both) else ():
-                    out.append((qid, names[d[i]], int(s[i]), float(cos_of[i]), None))
-                for i in sorted(own[np.isnan(cs)], key=lambda i: (-s[i], names[d[i]]))[:top]:
-                    out.append((qid, names[d[i]], int(s[i]), None, None))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.float32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], k) for c, k in enumerate(kinds)], names=["q", "doc_id", "text", "cos", "n"])
+            if not len(d):
+                continue
+            names = batch.column("doc_id")
+            x = unit_rows(batch.column("vector"), block.dims)
+            histogram.update(zip(q.tolist(), s.tolist()))
+            for a in range(0, len(d), 100_000):
+                part = slice(a, a + 100_000)
+                cos = pair_cosines(x[d[part]], block.vectors[q[part]])
+                for i, name, text, c in zip(q[part].tolist(), names.take(pa.array(d[part])).to_pylist(), s[part].tolist(), cos.tolist()):
+                    own = held[i]
+                    own.append((name, text, None if c != c else c))
+                    if len(own) >= 64 * top:
+                        own[:] = kept_of(own, top)
+                        if len(own) >= 32 * top:  # a skyband of its own; twice as many before it is looked at again
+                            yield rows_of([(int(block.ids[i]), *f, None) for f in own])
+                            own.clear()
+        yield rows_of([(int(block.ids[i]), *f, None) for i, own in held.items() for f in kept_of(own, top)] + [(int(block.ids[i]), None, t, None, n) for (i, t), n in histogram.items()])
+
+    return run
+
+
+def nearest_pass(block: Block, top: int):
+    """Candidates of each query by cosine alone; twice ``top``, since fewer than ``top`` of them match its words too."""
+    keep = 2 * top
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = len(block.ids)
+        best, who = np.full((keep, m), -2, np.float32), np.full((keep, m), "", object)
+        for batch in batches:
+            names = np.array(batch.column("doc_id").to_pylist(), dtype=object)
+            x = unit_rows(batch.column("vector"), block.dims)
+            for a in range(0, len(x), TILE):
+                for b in range(0, m, QUERY_TILE):
+                    cols = slice(b, b + QUERY_TILE)
+                    cos = cosines(x[a : a + TILE], block.vectors[cols])
+                    cos[np.isnan(cos)] = -2
+                    for j in np.flatnonzero((cos.max(axis=0) >= best[-1, cols]) & (cos.max(axis=0) > -1.5)):
+                        live = np.flatnonzero((cos[:, j] >= best[-1, b + j]) & (cos[:, j] > -1.5))
+                        both, ids = np.concatenate([best[:, b + j], cos[live, j]]), np.concatenate([who[:, b + j], names[a + live]])
+                        order = best_by_name(both, ids, keep)
+                        best[: len(order), b + j], who[: len(order), b + j] = both[order], ids[order]
+        q, r = np.nonzero((best > -1.5).T)
+        yield rows_of([(int(block.ids[i]), who[k, i], None, float(best[k, i]), None) for i, k in zip(q, r)])
 
     return run
 
 
-def second_pass(block: Block, thresholds: dict[int, list[float]]):
-    """How many documents of a batch have a cosine above each candidate's."""
-    sorted_t = [(col, np.array(sorted(set(thresholds[int(q)])), np.float32)) for col, q in enumerate(block.ids) if int(q) in thresholds]
+def best_by_name(cos: np.ndarray, names: np.ndarray, keep: int) -> list[int]:
+    """Places of the ``keep`` highest cosines, equal ones by name."""
+    live = np.flatnonzero(cos > -1.5)
+    if len(live) > keep:
+        kth = np.partition(cos[live], len(live) - keep)[len(live) - keep]
+        live = live[cos[live] >= kth]
+    return sorted(live.tolist(), key=lambda i: (-cos[i], names[i]))[:keep]
+
+
+def place_pass(block: Block, thresholds: dict[int, list[float]]):
+    """How many documents of a task have a cosine above each candidate's."""
+    cols = [i for i, q in enumerate(block.ids) if int(q) in thresholds]
+    sets = [np.array(sorted(set(thresholds[int(block.ids[i])])), np.float32) for i in cols]
+    low, high = np.array([t[0] for t in sets], np.float64), np.array([t[-1] for t in sets], np.float64)
+    v = block.vectors[cols]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {col: np.zeros(len(t) + 1, np.int64) for col, t in sorted_t}
+        total = [np.zeros(len(t) + 1, np.int64) for t in sets]
         for batch in batches:
-            for a in range(0, len(batch), TILE):
-                cos = block.cosines(batch.column("vector").slice(a, TILE)).T.copy()
-                cos[np.isnan(cos)] = -2
-                for col, t in sorted_t:
-                    row = cos[col]
-                    row = row[row > t[0]]
-                    total[col] += np.bincount(np.searchsorted(t, row, side="left"), minlength=len(t) + 1)
+            x = unit_rows(batch.column("vector"), block.dims)
+            x = x[~np.isnan(x[:, 0])]
+            for a in range(0, len(x), TILE):
+                part = x[a : a + TILE]
+                centre = part.mean(axis=0)
+                centre /= max(np.linalg.norm(centre), 1e-30)
+                radius = np.arccos(np.clip((part @ centre).min(), -1, 1))
+                for b in range(0, len(cols), QUERY_TILE):
+                    angle = np.arccos(np.clip(v[b : b + QUERY_TILE] @ centre, -1, 1))
+                    # the cosines of the stretch lie between these, up to rounding
+                    upper, lower = np.cos(np.maximum(angle - radius, 0)) + 1e-6, np.cos(np.minimum(angle + radius, np.pi)) - 1e-6
+                    for j in np.flatnonzero(lower > high[b : b + QUERY_TILE]):
+                        total[b + j][-1] += len(part)
+                    open_ = np.flatnonzero((upper > low[b : b + QUERY_TILE]) & ~(lower > high[b : b + QUERY_TILE]))
+                    if not len(open_):
+                        continue
+                    cos = cosines(v[b + open_], part)
+                    for row, j in zip(cos, b + open_):
+                        t = sets[j]
+                        row = row[row > t[0]]
+                        if len(row):
+                            total[j] += np.bincount(np.searchsorted(t, row, side="left"), minlength=len(t) + 1)
         q, c, n = [], [], []
-        for col, t in sorted_t:
-            above = total[col][::-1].cumsum()[::-1][1:]
-            q += [int(block.ids[col])] * len(t)
+        for i, t, own in zip(cols, sets, total):
+            q += [int(block.ids[i])] * len(t)
             c += t.tolist()
-            n += above.tolist()
+            n += own[::-1].cumsum()[::-1][1:].tolist()
         yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(c, pa.float32()), pa.array(n, pa.int64())], names=["q", "cos", "above"])
 
     return run
 
 
+def clustered(docs: DataFrame, dims: int) -> DataFrame:
+    """Documents with those of one cluster next to each other in every partition; those without a usable vector come last."""
+    sample = docs.select("vector", F.xxhash64("doc_id").alias("h"), "doc_id").where(F.size("vector") == dims).orderBy("h", "doc_id").limit(FIT_ROWS).select("vector").toArrow()
+    x = unit_rows(sample.column(0).combine_chunks(), dims) if len(sample) else np.empty((0, dims))
+    x = x[~np.isnan(x).any(axis=1)]
+    if not len(x):
+        return docs
+    centres = kmeans(x, CLUSTERS)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = unit_rows(batch.column("vector"), dims) @ centres.T - (centres * centres).sum(axis=1) / 2
+            own = np.where(np.isnan(near).any(axis=1), CLUSTERS, np.nan_to_num(near).argmax(axis=1)) if len(batch) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32))], names=[*batch.schema.names, "cluster"])
+
+    return docs.mapInArrow(assign, "doc_id string, tsv string, vector array<float>, cluster int").sortWithinPartitions("cluster").drop("cluster")
+
+
 def leximin_top(
     docs: DataFrame, doc_id: str, tsv: str, vector: str, updated: str | None, queries: DataFrame, query_id: str, tsq: str, query_vector: str, dims: int, top: int = 3, query_block: int = QUERY_BLOCK
 ) -> DataFrame:
@@ -200,32 +284,47 @@ def leximin_top(
     one = cut(rows.where("doc_id is not null").groupBy("doc_id").agg(F.max_by("v", F.struct("at", "v.tsv")).alias("v")).select("doc_id", "v.tsv", "v.vector"))
     total = one.count()
     held = queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).cast("long").alias("q"), F.col(tsq).alias("tsq"), F.col(query_vector).cast("array<float>").alias("v")).dropDuplicates(["q"])
+    held = cut(held)
+    documents = cut(clustered(one, dims))
+    df = word_counts(one, held)
     parts, last = [], None
     while True:  # blocks of bounded size, in the order of the ids
         block_rows = (held if last is None else held.where(F.col("q") > last)).orderBy("q").limit(query_block).collect()
-        if block_rows:
-            parts.append(ranked_block(one, Block([(r.q, r.tsq, r.v) for r in block_rows], dims), top, total))
+        if block_rows or not parts:
+            words = {w for r in block_rows for w in QUOTED.findall(r.tsq or "")}
+            parts.append(ranked_block(documents, Block([(r.q, r.tsq, r.v) for r in block_rows], dims, {w: df.get(w, 0) for w in words}), top, total))
         if len(block_rows) < query_block:
             break
         last = block_rows[-1].q
-    if not parts:
-        parts = [ranked_block(one, Block([], dims), top, total)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def word_counts(docs: DataFrame, queries: DataFrame) -> dict[str, int]:
+    """Documents of each word that any query has; the words of queries are a vocabulary, which the driver holds."""
+    wanted = queries.select(F.explode(F.array_distinct(F.regexp_extract_all("tsq", F.lit(r"'((?:[^']|'')*)'"), F.lit(1)))).alias("w")).distinct()
+    held = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("tsv", F.lit(r"'((?:[^'\\]|''|\\.)*)'"), F.lit(1)))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return {r.w: r.n for r in wanted.join(held, "w").collect()}
+
+
 def ranked_block(docs: DataFrame, block: Block, top: int, total: int) -> DataFrame:
     found = cut(docs.mapInArrow(first_pass(block, top), KINDS))
     histogram = found.where("n is not null").groupBy("q", "text").agg(F.sum("n").alias("n"))
     higher = histogram.withColumn("text_above", F.coalesce(F.sum("n").over(Window.partitionBy("q").orderBy(F.desc("text")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    candidates = pruned(found.where("n is null").drop("n"), top)
+    candidates = cut(pruned(found.where("n is null").drop("n"), top))
+    full = {r.q for r in candidates.where("text is not null and cos is not null").groupBy("q").count().where(F.col("count") >= top).select("q").collect()}
+    poor = np.array([i for i, q in enumerate(block.ids) if int(q) not in full and not np.isnan(block.vectors[i, 0])], np.int64)
+    if len(poor):
+        near = docs.select("doc_id", "vector").mapInArrow(nearest_pass(block.part(poor), top), KINDS).drop("n")
+        near = near.join(candidates.where("text is not null and cos is not null").select("q", "doc_id"), ["q", "doc_id"], "left_anti").select("q", "doc_id", "text", "cos")
+        candidates = cut(pruned(candidates.unionByName(near), top))
     # at most a skyband for each query of the block comes to the driver
     thresholds: dict[int, list[float]] = defaultdict(list)
     for r in candidates.where("cos is not null").select("q", "cos").distinct().collect():
         thresholds[r.q].append(r.cos)
-    above = docs.select("vector").mapInArrow(second_pass(block, thresholds), "q long, cos float, above long").groupBy("q", "cos").agg(F.sum("above").alias("cos_above"))
+    above = docs.select("vector").mapInArrow(place_pass(block, thresholds), "q long, cos float, above long").groupBy("q", "cos").agg(F.sum("above").alias("cos_above"))
     size = F.lit(float(max(total, 1)))
     scored = (
         candidates.join(higher.select("q", "text", "text_above"), ["q", "text"], "left").join(above, ["q", "cos"], "left")
@@ -239,20 +338,11 @@ def ranked_block(docs: DataFrame, block: Block, top: int, total: int) -> DataFra
 
 
 def pruned(found: DataFrame, top: int) -> DataFrame:
-    """The skyband over all batches, and the ``top`` best of those with one score only."""
+    """The skyband over all tasks, and the ``top`` best of those with one score only."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("doc_id")
-        text, cos = group["text"].to_numpy(), group["cos"].to_numpy()
-        text, cos = np.array(text, np.float64), np.array(cos, np.float64)
-        both = np.flatnonzero(~np.isnan(text) & ~np.isnan(cos))
-        only_t = np.flatnonzero(np.isnan(cos))
-        only_c = np.flatnonzero(np.isnan(text))
-        keep = np.concatenate([
-            both[skyband(text[both], cos[both], top)],
-            only_t[np.argsort(-text[only_t], kind="stable")[:top]],
-            only_c[np.argsort(-cos[only_c], kind="stable")[:top]],
-        ])
-        return group.take(pa.array(keep.astype(np.int64)))
+        q = group["q"][0].as_py()
+        keep = kept_of(list(zip(group["doc_id"].to_pylist(), group["text"].to_pylist(), group["cos"].to_pylist())), top)
+        return pa.table({"q": pa.array([q] * len(keep), pa.int64()), "doc_id": [f[0] for f in keep], "text": pa.array([f[1] for f in keep], pa.int64()), "cos": pa.array([f[2] for f in keep], pa.float32())})
 
     return found.groupBy("q").applyInArrow(run, "q long, doc_id string, text long, cos float")
