@@ -2,7 +2,7 @@
 
 import pytest
 
-from tidemill.plans import registry
+from tidemill.plans import registry, search
 
 DATA = "/root/testdata/sf0.1"
 
@@ -12,8 +12,9 @@ def truth(spark):
     return {(r.query_id, r.id) for r in registry.queries()["c2_knn_batch"](spark, DATA).collect()}
 
 
-@pytest.mark.parametrize("name", ["d2_ivf_probed", "d3_sbq_knn", "d5_pq_knn", "d6_sq8_knn", "d7_anisotropic_pq_knn", "d8_rabitq_knn"])
+@pytest.mark.parametrize("name", ["ivf", *search.OVER_FETCH])
 def test_recall(spark, truth, name):
-    got = {(r.query_id, r.id) for r in registry.queries()[name](spark, DATA).collect()}
+    found = search.ivf_probed(spark, DATA) if name == "ivf" else search.quantised(name)(spark, DATA)
+    got = {(r.query_id, r.id) for r in found.collect()}
     print(name, len(got & truth) / len(truth))
     assert len(got & truth) >= 0.9 * len(truth)
