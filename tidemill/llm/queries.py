@@ -14,7 +14,8 @@ from tidemill.llm.leximin import leximin_top
 from tidemill.llm.names import entity_pairs, name_entities
 from tidemill.llm.similar import mutual_pairs, similar_vectors
 from tidemill.llm.split import split_oversized
-from tidemill.llm.tokens import token_ids, vocabulary_path
+from tidemill.llm.tokens import decoded, token_ids, vocabulary_path
+from tidemill.operators.knn import similarity_join, top_per
 from tidemill.session import cut, spread, table
 
 #: Folder of the public tokenizers' vocabulary files.
@@ -35,10 +36,35 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(rows, ["chunk_id"], "chunk_text", "chunk_size", "chunk_overlap")
 
 
+def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether at least nine tenths of the exact five nearest of every hundredth usable row are among its neighbours, and their number."""
+    rows = table(spark, sf_dir, "edocs_chunks").select("chunk_id", "embedding").where((F.size("embedding") == 64) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
+    near = similarity_join(rows.where("chunk_id % 100 = 0"), rows, "chunk_id", "embedding", 6, "cosine").where("left_id <> id")
+    exact = cut(top_per(near, "left_id", 5).select("left_id", "id"))
+    found = p1_neighbours(spark, sf_dir).select(F.col("id").alias("left_id"), F.col("neighbour_id").alias("id"))
+    met = exact.join(found, ["left_id", "id"], "left_semi").count()
+    queries = rows.where("chunk_id % 100 = 0").select("chunk_id").distinct()
+    return queries.agg(F.count(F.lit(1)).alias("queries")).select("queries", F.lit(met >= 0.9 * exact.count()).alias("reaches"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(spark, sf_dir).where("chunk_index = 1").select("chunk_id")
 
 
+def p2_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text put together again from its pieces, with whether these are numbered, within the limit, and share what they should."""
+    limits = table(spark, sf_dir, "vectorizer").select(F.col("id").alias("vectorizer_id"), F.col("chunk_size").alias("size"), F.coalesce("chunk_overlap", F.lit(0)).alias("overlap"))
+    ps = pieces(spark, sf_dir).groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "start_offset", "end_offset", "chunk_text"))).alias("p"))
+    of = table(spark, sf_dir, "edocs_chunks").select("chunk_id", "vectorizer_id").join(limits, "vectorizer_id", "left")
+    pairs = F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p")), lambda a, b: a["end_offset"] - b["start_offset"])
+    new = F.transform("p", lambda x, i: F.substring(x["chunk_text"], F.when(i == 0, 1).otherwise(F.get("p", i - 1)["end_offset"] - x["start_offset"] + 1), F.char_length(x["chunk_text"])))
+    return ps.join(of, "chunk_id").select(
+        "chunk_id", F.array_join(new, "").alias("rebuilt"), (F.col("p.chunk_index") == F.sequence(F.lit(0), F.size("p") - 1)).alias("numbered"),
+        F.forall("p", lambda x: F.col("size").isNull() | (F.char_length(x["chunk_text"]) <= F.col("size"))).alias("within_limit"),
+        F.forall(pairs, lambda x: (x <= F.col("overlap")) & ((x > 0) | (F.col("overlap") == 0))).alias("shared"),
+    )
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leximin_top(
         table(spark, sf_dir, "hybw"), "doc_id", "text_tsv", "embedding", "updated_at", table(spark, sf_dir, "hybq"), "query_id", "query_tsq", "query_vector", dims=48, top=3
@@ -57,6 +83,11 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", vocabulary_path(folder=TOKENIZERS))
 
 
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts as they come back from their token ids."""
+    return decoded(p7_ids(spark, sf_dir), vocabulary_path(folder=TOKENIZERS))
+
+
 def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", ["item_text", "answer"])
 
@@ -74,11 +105,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": p1_found,
         "p1_neighbours": p1_neighbours,
         "p2_found": p2_found,
+        "p1_recall": p1_recall,
         "p2_pieces": pieces,
+        "p2_rebuilt": p2_rebuilt,
         "p4_found": p4_found,
         "p5_entities": p5_entities,
         "p5_found": p5_found,
         "p7_ids": p7_ids,
+        "p7_decoded": p7_decoded,
         "p8_found": p8_found,
         "p8_leaks": leaks,
         "p9_found": p9_found,
@@ -103,5 +137,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": NEAREST,
         "p2_found": "SELECT c.chunk_id FROM edocs_chunks c JOIN vectorizer v ON v.id = c.vectorizer_id WHERE length(c.chunk_text) > v.chunk_size",
+        "p1_recall": f"SELECT count(DISTINCT id) AS queries, true AS reaches FROM ({USABLE}) WHERE id % 100 = 0",
+        "p2_rebuilt": "SELECT chunk_id, chunk_text AS rebuilt, true AS numbered, true AS within_limit, true AS shared FROM edocs_chunks WHERE length(chunk_text) > 0",
         "p4_found": LEXIMIN,
+        "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }

@@ -54,6 +54,17 @@ def decode(ids: list[int], by_id: dict[int, bytes]) -> str:
     return b"".join(by_id[i] for i in ids).decode("utf-8")
 
 
+def decoded(encoded: DataFrame, vocabulary: str) -> DataFrame:
+    """(doc_id, text) of (doc_id, ids); an empty list gives an empty text, and ids outside the vocabulary are an error."""
+    by_id = {i: b for b, i in load_ranks(vocabulary).items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode(ids, by_id) for ids in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+
+
 def lists(rows: list[list[int]]) -> pa.Array:
     offsets = np.zeros(len(rows) + 1, np.int32)
     np.cumsum([len(r) for r in rows], out=offsets[1:])
