@@ -525,13 +525,49 @@ def test_change_feed(spark, tmp_path):
 
 
 def test_sql_functions(spark):
-    from tidemill.functions.sql_functions import register
+    from tidemill.functions.sql_functions import TABLES, register, table_function
 
-    assert len(register(spark)) == 6
+    names = register(spark, ai.parity, ai.hashed_embedding(4))
+    assert len(names) == len(set(names)) >= 35 and len(TABLES) >= 30
     r = spark.sql(
         "SELECT l2_distance(array(0f, 0f), array(3f, 4f)) AS d, inner_product(array(1f, 2f), array(3f, 4f)) AS p, label_overlap(array(1s, null), array(3s)) AS o, sbq_bytes_per_vector(768, 1) AS b, "
-        "chunk_text('hello world', 'fixed', 5, 0) AS c, size(extract_entities('Ada Lovelace met Charles Babbage')) AS n"
+        "chunk_text('hello world', 'fixed', 5, 0) AS c, size(extract_entities('Ada Lovelace met Charles Babbage')) AS n, cosine_distance(array(1f, 0f), array(0f, 2f)) AS cs, cosine_distance(array(0f), array(1f)) AS z, "
+        "vector_in('[1, 2.5]') AS vi, vector_in('[1') AS bad, vector_out(array(1f, 2.5f)) AS vo, vector_cmp(array(1f, 2f), array(1f, 3f)) AS vc, vector_recv(vector_send(array(1f, 2f))) AS rt, ai_if('is 4 even') AS yes, ai_generate('3') AS g, "
+        "size(embed('some text')) AS e, ai_if_batch('even', '7') AS ib, analyze_text('the Databases') AS an, sanitize_query('Ab, c!') AS sq, cover_density('red x apple', 'apples red') AS cd, size(extract_graph('Ada One, Bob Two')) AS eg, vectorizer_backoff(3) AS bo"
     ).first()
-    assert (r.d, r.p, r.o, r.b, r.c, r.n) == (5.0, 11.0, False, 96, ["hello", " worl", "d"], 2)
+    assert (r.d, r.p, r.o, r.b, r.c, r.n, r.cs) == (5.0, 11.0, False, 96, ["hello", " worl", "d"], 2, 1.0) and np.isnan(r.z)
+    assert (r.vi, r.bad, r.vo, r.vc, r.rt, r.yes, r.g) == ([1.0, 2.5], None, "[1.0,2.5]", -1, [1.0, 2.0], True, "no")
+    assert (r.e, r.ib, r.an, r.sq, round(r.cd, 9), r.eg, r.bo) == (4, False, ["databas"], "ab c", 0.05, 1, 8.0)
+    for bad in ("l2_distance(array(0f), array(3f, 4f))", "vector_coerce(array(1f), 2)", "cosine_distance(array(0f), array(3f, 4f))"):
+        with pytest.raises(Exception, match="dimensions"):
+            spark.sql(f"SELECT {bad}").first()
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, v array<float>")
+    table_function("knn", "nearest", rows, "id", "v", [1.0, 0.1], 1)
+    assert spark.sql("SELECT id FROM nearest").first().id == 1
+
+
+def test_cover_density():
+    assert [hybrid.covers(p) for p in ([[1, 5], [3]], [[2, 4, 9]], [[1], []], [])] == [[(1, 3, 2), (3, 5, 2)], [(2, 2, 1), (4, 4, 1), (9, 9, 1)], [], []]
+    density = lambda text, *q: round(hybrid.cover_density(text.split(), list(q)), 6)
+    assert density("a b", "a", "b") == 0.1 and density("a x b", "a", "b") == 0.05 and density("a x b a", "a", "b") == 0.15 and density("a a a", "a") == 0.3 and density("a x", "a", "b") == 0
+
+
+def test_footers_and_counters(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(0, 1000, 1, 4).selectExpr("id", "cast(id as string) as s").sortWithinPartitions("id").write.parquet(path)
+    df = lakehouse.min_max_count(spark, path, "id")
+    assert tuple(df.first()) == (0, 999, 1000) and "PushedAggregation: [MIN(id), MAX(id), COUNT(*)]" in df._jdf.queryExecution().executedPlan().toString()
+    assert tuple(lakehouse.min_max_count(spark, path, "s").first()) == ("0", "999", 1000)
+    groups = lakehouse.row_groups(spark, path, "id", 0, 10).agg(F.sum("scanned"), F.sum("skipped")).first()
+    assert tuple(groups) == (1, 3)
+    counter = ai.CallCounter(spark)
+    cheap = spark.range(100).where(ai.if_costly(F.col("id").cast("string"), counter.wrap(ai.parity)) & (F.col("id") < 3))
+    assert cheap.count() == 2 and counter.count == 3
+    counter.reset()
+    assert counter.count == 0
+    said = spark.range(1).select(ai.chat(F.lit("hi"), lambda p, system: [f"{system}: {x}" for x in p], "be kind").alias("r")).first().r
+    assert said == "be kind: hi"
+    r = one(spark, a=V.vector_from_bytes(V.vector_bytes(V.lit_vector([1.0, 2.0]))), b=V.vector_from_bytes(F.lit(b"abc")), n=V.vector_from_bytes(F.lit(b"\x00\x00\xc0\x7f")), d=V.with_dims(V.lit_vector([1.0]), 1))
+    assert (r.a, r.b, r.n, r.d) == ([1.0, 2.0], None, None, [1.0])
     with pytest.raises(Exception, match="dimensions"):
-        spark.sql("SELECT l2_distance(array(0f), array(3f, 4f))").first()
+        one(spark, d=V.with_dims(V.lit_vector([1.0]), 2))

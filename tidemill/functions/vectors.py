@@ -74,13 +74,41 @@ def valid_vector(v: str | Column, dims: int | None = None) -> Column:
     return F.coalesce(ok & (F.size(v) == dims) if dims else ok, F.lit(False))
 
 
-def vector_bytes(v: str | Column) -> Column:
-    """Little-endian single-precision bytes of a vector."""
+def send_udf():
     @F.pandas_udf("binary")
     def pack(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
 
-    return pack(col(v))
+    return pack
+
+
+def vector_bytes(v: str | Column) -> Column:
+    """Little-endian single-precision bytes of a vector."""
+    return send_udf()(col(v))
+
+
+def receive_udf():
+    @F.pandas_udf("array<float>")
+    def unpack(s: pd.Series) -> pd.Series:
+        def one(data: bytes | None):
+            if data is None or not data or len(data) % 4 or len(data) > 4 * MAX_DIMS:
+                return None
+            v = np.frombuffer(data, "<f4")
+            return v if np.isfinite(v).all() else None
+
+        return s.map(one)
+
+    return unpack
+
+
+def vector_from_bytes(b: str | Column) -> Column:
+    """The vector of little-endian single-precision bytes; null where these are no vector."""
+    return receive_udf()(col(b))
+
+
+def with_dims(v: str | Column, dims: int) -> Column:
+    """The vector, which must have ``dims`` dimensions if it is not null."""
+    return F.when(col(v).isNull() | (F.size(col(v)) == dims), col(v)).otherwise(F.raise_error(F.lit(f"expected {dims} dimensions")).cast("array<float>"))
 
 
 def sbq_bytes_per_vector(dims: int, bits: int = 1) -> int:

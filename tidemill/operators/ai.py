@@ -98,17 +98,51 @@ def parse_number(reply: str) -> float:
     return float(m[0])
 
 
+def replies(s: pd.Series, model: Model, parse: Callable[[str], object], prefix: str = "") -> pd.Series:
+    """The read replies to all prompts of a batch; a null prompt or an empty reply is an error."""
+    out = call(model, [prefix + p for p in required(s)])
+    if any(not r for r in out):
+        raise ModelError("empty reply")
+    return pd.Series([parse(r) for r in out])
+
+
 def _column(kind: str, model: Model, prompt: Column, parse: Callable[[str], object], prefix: str = "") -> Column:
     @F.pandas_udf(kind)
     def run(s: pd.Series) -> pd.Series:
-        replies = call(model, [prefix + p for p in required(s)])
-        if any(not r for r in replies):
-            raise ModelError("empty reply")
-        return pd.Series([parse(r) for r in replies])
+        return replies(s, model, parse, prefix)
 
     return run(prompt)
 
 
+class CallCounter:
+    """Counts the prompts that reach a model on all executors; read after an action, and again from zero after ``reset``."""
+
+    def __init__(self, spark) -> None:
+        self._sent = spark.sparkContext.accumulator(0)
+        self._before = 0
+
+    def wrap(self, model: Model) -> Model:
+        sent = self._sent
+
+        def counted(prompts: list[str]) -> list[str]:
+            sent.add(len(prompts))
+            return model(prompts)
+
+        return counted
+
+    @property
+    def count(self) -> int:
+        return self._sent.value - self._before
+
+    def reset(self) -> None:
+        self._before = self._sent.value
+
+
+def chat(prompt: Column, model: Callable[[list[str], str | None], list[str]], system: str | None = None) -> Column:
+    """One reply a row from a model that also takes a system prompt."""
+    return _column("string", lambda prompts: model(prompts, system), prompt, str)
+
+
 def generate(prompt: Column, model: Model = parity) -> Column:
     return _column("string", model, prompt, str)
 
@@ -130,20 +164,29 @@ def rank(prompt: Column, model: Model) -> Column:
     return _column("float", model, prompt, parse_number)
 
 
-def if_batch(condition: str, values: Column, model: Model = parity) -> Column:
+def if_costly(prompt: Column, model: Model = parity) -> Column:
+    """``ai_if`` row by row; a filter's native conditions are planned below it, so only rows that pass them are asked about."""
+    return ai_if(prompt, model)
+
+
+def answers(condition: str, values: list, model: Model) -> list[bool | None]:
     """``condition: value`` for every value; null values are not sent and stay null, unreadable replies are null."""
+    live = [i for i, v in enumerate(values) if v is not None]
+    out: list[bool | None] = [None] * len(values)
+    for i, r in zip(live, call(model, [f"{condition}: {' '.join(str(values[i]).split())}" for i in live])):
+        try:
+            out[i] = parse_bool(r)
+        except ModelError:
+            out[i] = None
+    return out
+
+
+def if_batch(condition: str, values: Column, model: Model = parity) -> Column:
+    """The ``answers`` of a column."""
 
     @F.pandas_udf("boolean")
     def run(s: pd.Series) -> pd.Series:
-        live = [i for i, v in enumerate(s) if v is not None]
-        replies = call(model, [f"{condition}: {' '.join(str(s.iloc[i]).split())}" for i in live])
-        out: list[bool | None] = [None] * len(s)
-        for i, r in zip(live, replies):
-            try:
-                out[i] = parse_bool(r)
-            except ModelError:
-                out[i] = None
-        return pd.Series(out, dtype=object)
+        return pd.Series(answers(condition, list(s), model), dtype=object)
 
     return run(values)
 
@@ -159,17 +202,22 @@ def rerank(query: str, docs: list[str], scorer: Callable[[str, list[str]], list[
     return [(i, scores[i]) for i in (order if top_n is None or top_n < 0 else order[:top_n])]
 
 
+def embedded(s: pd.Series, embed: Callable[[list[str]], list[list[float]]], dims: int | None = None) -> pd.Series:
+    """Embeddings of a batch in order; nulls stay null."""
+    live = [i for i, t in enumerate(s) if t is not None]
+    made = embed([s.iloc[i] for i in live]) if live else []
+    if len(made) != len(live) or (dims and any(len(v) != dims for v in made)):
+        raise ModelError("embeddings do not match the texts")
+    by_row = dict(zip(live, made))
+    return pd.Series([by_row.get(i) for i in range(len(s))], dtype=object)
+
+
 def embed_column(text: Column, embed: Callable[[list[str]], list[list[float]]], dims: int | None = None) -> Column:
     """Order-preserving embeddings of all texts of an Arrow batch at once; nulls stay null."""
 
     @F.pandas_udf("array<float>")
     def run(s: pd.Series) -> pd.Series:
-        live = [i for i, t in enumerate(s) if t is not None]
-        made = embed([s.iloc[i] for i in live]) if live else []
-        if len(made) != len(live) or (dims and any(len(v) != dims for v in made)):
-            raise ModelError("embeddings do not match the texts")
-        by_row = dict(zip(live, made))
-        return pd.Series([by_row.get(i) for i in range(len(s))], dtype=object)
+        return embedded(s, embed, dims)
 
     return run(text)
 

@@ -31,6 +31,12 @@ def analyze(text: str) -> list[str]:
     return [stem(w) for w in words if w not in STOP_WORDS]
 
 
+def analyze_places(text: str) -> list[str]:
+    """The words as ``analyze`` has them, with an empty string in the place of each word left out."""
+    words = [w.lower() if len(w.encode()) <= MAX_TOKEN_BYTES else "" for w in re.findall(r"[^\W_]+", text)]
+    return ["" if w in STOP_WORDS or not w else stem(w) for w in words]
+
+
 def analyzed(text: Column) -> Column:
     @F.pandas_udf("array<string>")
     def run(s: pd.Series) -> pd.Series:

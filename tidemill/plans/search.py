@@ -276,10 +276,18 @@ SELECT coalesce(vr.doc_id, xr.doc_id) AS id, round(coalesce(2.0 / (60 + rv), 0)
 def e_hybrid_rrf(s, d):
     docs = table(s, d, "hybw").select("doc_id", "body", "embedding").distinct()
     q = table(s, d, "hybq").orderBy("query_id").select("query_vector").first()[0]
-    found = hybrid.hybrid_search_rrf(docs, "doc_id", "body", "embedding", "index vector", list(q), vector_weight=2.0, result_limit=10)
+    found = hybrid.hybrid_search_rrf(docs, "doc_id", "body", "embedding", "index vector", list(q), vector_weight=2.0, result_limit=10, engine="count")
     return found.select("id", F.round(F.col("score").cast("double"), 5).alias("score"))
 
 
+@query(
+    r"""SELECT doc_id AS id, round(0.1 * n, 6) AS score FROM (SELECT doc_id, len(list_filter(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: regexp_full_match(lower(w), 'vector(s|ed|ing)?'))) AS n FROM documents WHERE text IS NOT NULL) WHERE n > 0"""
+)
+def e_cover_density(s, d):
+    """With one word every place is a cover."""
+    return hybrid.text_cover(spread(table(s, d, "documents")), "doc_id", "text", "vectors").select(F.col("id").cast("long").alias("id"), F.round("s", 6).alias("score"))
+
+
 # --- graph ------------------------------------------------------------------------------------------------
 
 ADJ = "adj AS (SELECT src_id AS src, dst_id AS dst FROM graph_edges WHERE src_id IS NOT NULL AND dst_id IS NOT NULL UNION ALL SELECT dst_id, src_id FROM graph_edges WHERE src_id IS NOT NULL AND dst_id IS NOT NULL)"
@@ -457,10 +465,10 @@ def i4_sentiment(s, d):
     return table(s, d, "events").select("event_id", ai.analyze_sentiment(F.col("user_id").cast("string"), lambda p: ["positive" if int(x) % 2 == 0 else "negative" for x in p]).alias("sentiment"))
 
 
-@query("SELECT label, n % 2 = 0 AS even FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)")
+@query("SELECT event_id FROM events WHERE value > 50 AND event_id % 2 = 0")
 def i8_cheap_predicates_first(s, d):
-    counted = emb(s, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select("label", ai.ai_if(F.concat(F.lit("even: "), F.col("n").cast("string"))).alias("even"))
+    """The model's condition is written first and asked last."""
+    return table(s, d, "events").where(ai.if_costly(F.concat(F.lit("even: "), F.col("event_id").cast("string"))) & (F.col("value") > 50)).select("event_id")
 
 
 def joined_text(prompts: list[str]) -> list[str]:

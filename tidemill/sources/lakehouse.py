@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +46,39 @@ def scan(spark: SparkSession, path: str, columns: list[str] | None = None, where
 
 
 def min_max_count(spark: SparkSession, path: str, column: str) -> DataFrame:
-    """(min, max, n) of a column. Where the session reads Parquet through the V2 source with aggregate pushdown, only footers are read."""
-    return spark.read.parquet(path).agg(F.min(column).alias("min"), F.max(column).alias("max"), F.count(F.lit(1)).alias("n"))
+    """(min, max, n) of a column, from the statistics in the footers alone where the type has them there.
+
+    The relation is read by the reader that pushes aggregates down; strings and timestamps are scanned.
+    """
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    before = spark.conf.get("spark.sql.sources.useV1SourceList", None)
+    spark.conf.set("spark.sql.sources.useV1SourceList", "")
+    try:
+        df = spark.read.parquet(path)
+    finally:
+        spark.conf.unset("spark.sql.sources.useV1SourceList") if before is None else spark.conf.set("spark.sql.sources.useV1SourceList", before)
+    return df.agg(F.min(column).alias("min"), F.max(column).alias("max"), F.count(F.lit(1)).alias("n"))
+
+
+def row_groups(spark: SparkSession, path: str, column: str, low, high) -> DataFrame:
+    """(file, scanned, skipped): row groups whose statistics allow a value from ``low`` to ``high``, and the others. Read from footers, one task a file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scanned, skipped = [], []
+            for uri in batch.column(0).to_pylist():
+                fs, name = pa.fs.FileSystem.from_uri(uri)
+                with fs.open_input_file(name) as f:
+                    meta = pq.ParquetFile(f).metadata
+                at = next(i for i in range(meta.num_columns) if meta.schema.column(i).path == column)
+                groups = [meta.row_group(g).column(at).statistics for g in range(meta.num_row_groups)]
+                live = [s is None or not s.has_min_max or (s.max >= low and s.min <= high) for s in groups]
+                scanned.append(sum(live))
+                skipped.append(len(live) - sum(live))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scanned, pa.int32()), pa.array(skipped, pa.int32())], names=["file", "scanned", "skipped"])
+
+    files = spark.createDataFrame([(f,) for f in spark.read.parquet(path).inputFiles()], "file string")
+    return files.repartition(files.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "file string, scanned int, skipped int")
 
 
 def olap(df: DataFrame, category: str = "category", amount: str = "amount") -> DataFrame:
