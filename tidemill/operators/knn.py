@@ -191,10 +191,24 @@ def threshold_join(df: DataFrame, id_col: str, vec_col: str, tau: float) -> Data
 # --- codebooks -------------------------------------------------------------------------------------------
 
 
+def smallest_hashes(df: DataFrame, id_col: str, limit: int, total: int) -> DataFrame:
+    """The ``limit`` of about ``total`` rows with the smallest hashes of the id, in that order.
+
+    Rows are first cut to a share of the hashes that holds twice as many, so that no task sorts or receives
+    the candidates of all others; should ids be so unevenly spread that it holds fewer, all rows are looked at.
+    """
+    rows = df.withColumn("__h", F.xxhash64(id_col))
+    if total > 2 * limit:
+        part = rows.where(F.col("__h") < F.lit(-(1 << 63) + (1 << 64) * 2 * limit // total))
+        if part.count() >= limit:
+            rows = part
+    return rows.orderBy("__h", id_col).limit(limit).drop("__h")
+
+
 def fit_rows(df: DataFrame, id_col: str, vec_col: str, limit: int = FIT_ROWS) -> np.ndarray:
     """The vectors with the smallest id hashes, at most ``limit``: the documented sample codebooks are fitted on."""
-    rows = df.where(F.col(id_col).isNotNull() & valid_vector(vec_col)).select(F.col(vec_col).alias("v"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i")).orderBy("h", "i").limit(limit).collect()
-    return np.array([r.v for r in rows], np.float64)
+    rows = df.where(F.col(id_col).isNotNull() & valid_vector(vec_col)).select(F.col(vec_col).alias("v"), F.col(id_col).alias("i"))
+    return np.array([r.v for r in smallest_hashes(rows, "i", limit, df.count()).collect()], np.float64)
 
 
 def kmeans(x: np.ndarray, k: int, iterations: int = 10, seed: int = 42) -> np.ndarray:
