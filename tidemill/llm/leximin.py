@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.operators.knn import kmeans
+from tidemill.operators.knn import kmeans, smallest_hashes
 from tidemill.session import cut
 
 #: Queries of one pass over the documents: their vectors and words are the only data sent to all tasks.
@@ -251,9 +251,9 @@ def place_pass(block: Block, thresholds: dict[int, list[float]]):
     return run
 
 
-def clustered(docs: DataFrame, dims: int) -> DataFrame:
+def clustered(docs: DataFrame, dims: int, total: int) -> DataFrame:
     """Documents with those of one cluster next to each other in every partition; those without a usable vector come last."""
-    sample = docs.select("vector", F.xxhash64("doc_id").alias("h"), "doc_id").where(F.size("vector") == dims).orderBy("h", "doc_id").limit(FIT_ROWS).select("vector").toArrow()
+    sample = smallest_hashes(docs.select("doc_id", "vector").where(F.size("vector") == dims), "doc_id", FIT_ROWS, total).select("vector").toArrow()
     x = unit_rows(sample.column(0).combine_chunks(), dims) if len(sample) else np.empty((0, dims))
     x = x[~np.isnan(x).any(axis=1)]
     if not len(x):
@@ -285,7 +285,7 @@ def leximin_top(
     total = one.count()
     held = queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).cast("long").alias("q"), F.col(tsq).alias("tsq"), F.col(query_vector).cast("array<float>").alias("v")).dropDuplicates(["q"])
     held = cut(held)
-    documents = cut(clustered(one, dims))
+    documents = cut(clustered(one, dims, total))
     df = word_counts(one, held)
     parts, last = [], None
     while True:  # blocks of bounded size, in the order of the ids
