@@ -110,8 +110,9 @@ def ppr(adj: DataFrame, seeds: list[int] | None, damping: float = 0.5, iteration
     d = min(max(damping, 0.0), 0.999)
     spark = adj.sparkSession
     arcs, hubs = salted_arcs(adj.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")), arcs_a_task)
-    # the degree goes with the scores, one row a node, so that arcs are never joined as a whole
-    degree = cut(arcs.groupBy("src").agg(F.sum("m").alias("deg")).withColumnRenamed("src", "node"))
+    degree = arcs.groupBy("src").agg(F.sum("m").alias("deg")).withColumnRenamed("src", "node")
+    salted = arcs.withColumn("s", F.col("salt"))  # a hub's arcs keep their salts
+    arcs = cut(along(degree, "node", salted, hubs).select(F.col("node").alias("src"), "dst", F.col("s").alias("salt"), (F.col("m") / F.col("deg")).alias("p")))
     top = adj.agg(F.max("src")).first()[0]
     valid = [s for s in seeds or [] if s is not None and top is not None and 0 <= s <= top]
     if valid:
@@ -123,8 +124,7 @@ def ppr(adj: DataFrame, seeds: list[int] | None, damping: float = 0.5, iteration
     restart = cut(restart)
     pi = restart.select("node", F.col("r").alias("score"))
     for i in range(max(1, iterations)):
-        share = pi.join(degree, "node").select("node", (F.col("score") / F.col("deg")).alias("share"))
-        spread = along(share, "node", arcs, hubs).groupBy(F.col("dst").alias("node")).agg((F.sum(F.col("share") * F.col("m")) * d).alias("s"))
+        spread = along(pi, "node", arcs, hubs).groupBy(F.col("dst").alias("node")).agg((F.sum(F.col("score") * F.col("p")) * d).alias("s"))
         pi = spread.join(restart, "node", "full").select("node", (F.coalesce("s", F.lit(0.0)) + F.coalesce("r", F.lit(0.0)) * (1 - d)).alias("score"))
         if i % cut_every == cut_every - 1:
             pi = cut(pi)
