@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -56,12 +55,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of everything that was cut and is no longer referenced; without this they stay until the driver happens to collect garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     _scratch.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
