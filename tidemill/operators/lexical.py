@@ -103,8 +103,14 @@ def bm25_build(df: DataFrame, id_col: str, text_col: str, folder: str, stemmed:
     return read_current(df.sparkSession, folder, "statistics").first().docs
 
 
-#: Opened indexes: folder to (version, postings, documents, average length); a new version takes the place of the old one.
-_open: dict[str, tuple[str, DataFrame, int, float | None]] = {}
+class Opened(dict):
+    """Opened indexes of this driver: folder to (version, postings, documents, average length); executors get none of them."""
+
+    def __reduce__(self):
+        return Opened, ()
+
+
+_open: dict[str, tuple[str, DataFrame, int, float | None]] = Opened()
 
 
 def bm25_open(spark: SparkSession, folder: str) -> tuple[DataFrame, int, float | None]:
