@@ -86,7 +86,7 @@ def test_copies_of_an_embedding_are_cut_by_id():
     assert sorted(kept.column("doc_id").to_pylist()) == [f"d000{i}" for i in range(6)]
 
 
-def test_places_with_and_without_skipping(monkeypatch):
+def test_places_are_counted_over_all_tiles(monkeypatch):
     rng = np.random.default_rng(5)
     x = np.concatenate([c + 0.1 * rng.normal(size=(400, 8)) for c in rng.normal(size=(12, 8))]).astype("f4")  # clusters one after the other
     q = x[::97] + 0.01

@@ -12,9 +12,8 @@ match their words. Up to ``QUERY_BLOCK`` queries are taken at once:
    Of them a task keeps for each query what fewer than ``top`` others beat in both scores, since no other
    can be among the first ``top`` (the skyband), and the histogram of text scores.
 2. Vectors: only queries with fewer than ``top`` such documents also look for the nearest ones.
-3. Places: for the few candidates it is counted how many documents have a higher cosine. Documents lie
-   sorted by cluster, and a stretch of them that is wholly nearer or farther than a query's candidates (by
-   its centre and radius) is counted or skipped without computing its cosines.
+3. Places: for the few candidates it is counted how many documents have a higher cosine, which needs the
+   cosine of every document: this step alone takes work in proportion to queries times documents.
 
 Document vectors are shuffled once, when repeated ids are reduced to one row.
 """
@@ -31,15 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.operators.knn import kmeans, smallest_hashes
 from tidemill.session import cut
 
 #: Queries of one pass over the documents: their vectors and words are the only data sent to all tasks.
 QUERY_BLOCK = 65_536
 #: Queries and documents of one matrix of cosines.
 QUERY_TILE, TILE = 4096, 512
-#: Clusters that documents are sorted by, and the vectors they are fitted on (smallest hashes of the id).
-CLUSTERS, FIT_ROWS = 64, 8192
 LEXEME = re.compile(r"'((?:[^'\\]|''|\\.)*)'(?::([0-9A-Da-d,]+))?")
 QUOTED = re.compile(r"'((?:[^']|'')*)'")
 
@@ -213,7 +209,6 @@ def place_pass(block: Block, thresholds: dict[int, list[float]]):
     """How many documents of a task have a cosine above each candidate's."""
     cols = [i for i, q in enumerate(block.ids) if int(q) in thresholds]
     sets = [np.array(sorted(set(thresholds[int(block.ids[i])])), np.float32) for i in cols]
-    low, high = np.array([t[0] for t in sets], np.float64), np.array([t[-1] for t in sets], np.float64)
     v = block.vectors[cols]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,21 +217,8 @@ def place_pass(block: Block, thresholds: dict[int, list[float]]):
             x = unit_rows(batch.column("vector"), block.dims)
             x = x[~np.isnan(x[:, 0])]
             for a in range(0, len(x), TILE):
-                part = x[a : a + TILE]
-                centre = part.mean(axis=0)
-                centre /= max(np.linalg.norm(centre), 1e-30)
-                radius = np.arccos(np.clip((part @ centre).min(), -1, 1))
                 for b in range(0, len(cols), QUERY_TILE):
-                    angle = np.arccos(np.clip(v[b : b + QUERY_TILE] @ centre, -1, 1))
-                    # the cosines of the stretch lie between these, up to rounding
-                    upper, lower = np.cos(np.maximum(angle - radius, 0)) + 1e-6, np.cos(np.minimum(angle + radius, np.pi)) - 1e-6
-                    for j in np.flatnonzero(lower > high[b : b + QUERY_TILE]):
-                        total[b + j][-1] += len(part)
-                    open_ = np.flatnonzero((upper > low[b : b + QUERY_TILE]) & ~(lower > high[b : b + QUERY_TILE]))
-                    if not len(open_):
-                        continue
-                    cos = cosines(v[b + open_], part)
-                    for row, j in zip(cos, b + open_):
+                    for j, row in enumerate(cosines(v[b : b + QUERY_TILE], x[a : a + TILE]), b):
                         t = sets[j]
                         row = row[row > t[0]]
                         if len(row):
@@ -251,24 +233,6 @@ def place_pass(block: Block, thresholds: dict[int, list[float]]):
     return run
 
 
-def clustered(docs: DataFrame, dims: int, total: int) -> DataFrame:
-    """Documents with those of one cluster next to each other in every partition; those without a usable vector come last."""
-    sample = smallest_hashes(docs.select("doc_id", "vector").where(F.size("vector") == dims), "doc_id", FIT_ROWS, total).select("vector").toArrow()
-    x = unit_rows(sample.column(0).combine_chunks(), dims) if len(sample) else np.empty((0, dims))
-    x = x[~np.isnan(x).any(axis=1)]
-    if not len(x):
-        return docs
-    centres = kmeans(x, CLUSTERS)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = unit_rows(batch.column("vector"), dims) @ centres.T - (centres * centres).sum(axis=1) / 2
-            own = np.where(np.isnan(near).any(axis=1), CLUSTERS, np.nan_to_num(near).argmax(axis=1)) if len(batch) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32))], names=[*batch.schema.names, "cluster"])
-
-    return docs.mapInArrow(assign, "doc_id string, tsv string, vector array<float>, cluster int").sortWithinPartitions("cluster").drop("cluster")
-
-
 def leximin_top(
     docs: DataFrame, doc_id: str, tsv: str, vector: str, updated: str | None, queries: DataFrame, query_id: str, tsq: str, query_vector: str, dims: int, top: int = 3, query_block: int = QUERY_BLOCK
 ) -> DataFrame:
@@ -285,14 +249,13 @@ def leximin_top(
     total = one.count()
     held = queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).cast("long").alias("q"), F.col(tsq).alias("tsq"), F.col(query_vector).cast("array<float>").alias("v")).dropDuplicates(["q"])
     held = cut(held)
-    documents = cut(clustered(one, dims, total))
     df = word_counts(one, held)
     parts, last = [], None
     while True:  # blocks of bounded size, in the order of the ids
         block_rows = (held if last is None else held.where(F.col("q") > last)).orderBy("q").limit(query_block).collect()
         if block_rows or not parts:
             words = {w for r in block_rows for w in QUOTED.findall(r.tsq or "")}
-            parts.append(ranked_block(documents, Block([(r.q, r.tsq, r.v) for r in block_rows], dims, {w: df.get(w, 0) for w in words}), top, total))
+            parts.append(ranked_block(one, Block([(r.q, r.tsq, r.v) for r in block_rows], dims, {w: df.get(w, 0) for w in words}), top, total))
         if len(block_rows) < query_block:
             break
         last = block_rows[-1].q
