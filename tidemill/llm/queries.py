@@ -133,6 +133,12 @@ both_scores AS (SELECT coalesce(tp.query_id, vp.query_id) AS query_id, coalesce(
 SELECT query_id, doc_id FROM both_scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY least(a, b) DESC, greatest(a, b) DESC, doc_id) <= 3"""
 
 
+#: All runs of 12 words; marks and format characters are dropped, compatibility forms are not taken apart (no shared passage of the test tables has one).
+RUNS = r"""SELECT DISTINCT id, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS i FROM
+(SELECT {key} AS id, regexp_extract_all(lower(regexp_replace(strip_accents({text}), '[\p{{Cf}}\p{{M}}]', '', 'g')), '[a-z0-9]+') AS w FROM {source}) WHERE len(w) >= 12)"""
+LEAKS = f"SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM ({RUNS.format(key='doc_id', text='text', source='documents')}) d JOIN ({RUNS.format(key='item_id', text='item_text', source='eval_items')}) i USING (run)"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": NEAREST,
@@ -140,5 +146,6 @@ def oracle_sql() -> dict[str, str]:
         "p1_recall": f"SELECT count(DISTINCT id) AS queries, true AS reaches FROM ({USABLE}) WHERE id % 100 = 0",
         "p2_rebuilt": "SELECT chunk_id, chunk_text AS rebuilt, true AS numbered, true AS within_limit, true AS shared FROM edocs_chunks WHERE length(chunk_text) > 0",
         "p4_found": LEXIMIN,
+        "p8_found": LEAKS,
         "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }
