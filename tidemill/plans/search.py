@@ -429,14 +429,48 @@ def h_chunk_fixed(s, d):
     return chunk.chunk_rows(table(s, d, "documents"), "doc_id", "text", "fixed", 512, 64)
 
 
-@query()
+WHITE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SIZE, OVERLAP = 512, 64
+
+
+def trimmed(t: str) -> str:
+    return f"regexp_replace({t}, '^{WHITE}+|{WHITE}+$', '', 'g')"
+
+
+def cut_by_force(t: str) -> str:
+    step = SIZE - OVERLAP
+    return f"list_transform(range(0, CAST(greatest(ceil((length({t}) - {SIZE}) / {step}.0), 0) AS BIGINT) + 1), lambda z: substr({t}, z * {step} + 1, {SIZE}))"
+
+
+def parts_sql(t: str, separators: list[str], level: int = 0) -> str:
+    """The parts of at most SIZE characters at the highest separators that give such."""
+    deeper = cut_by_force(t)
+    if level < len(separators):
+        inner = parts_sql(f"p{level}", separators, level + 1)
+        deeper = f"flatten(list_transform(list_filter(string_split({t}, {separators[level]}), lambda q{level}: {trimmed(f'q{level}')} <> ''), lambda p{level}: {inner}))"
+    return f"CASE WHEN length({t}) <= {SIZE} THEN [{trimmed(t)}] ELSE {deeper} END"
+
+
+def packed_sql(atoms: str) -> str:
+    """Chunks of atoms packed up to SIZE, each beginning with the last atoms of the one before up to OVERLAP."""
+    held, joined = "a.k", "array_to_string(a.k, ' ')"
+    carry = f"{held}[list_filter(range(1, len({held}) + 2), lambda i: length(array_to_string({held}[i:], ' ')) <= {OVERLAP})[1]:]"
+    step = f"CASE WHEN length({joined}) + 1 + length(x.k[1]) > {SIZE} THEN {{'c': list_append(a.c, {joined}), 'k': list_append({carry}, x.k[1])}} ELSE {{'c': a.c, 'k': list_append({held}, x.k[1])}} END"
+    return f"""SELECT doc_id AS id, CAST(i - 1 AS INTEGER) AS chunk_index, chunks[i] AS chunk_text FROM (SELECT doc_id, chunks, unnest(range(1, len(chunks) + 1)) AS i FROM (SELECT doc_id, list_append(r.c, array_to_string(r.k, ' ')) AS chunks FROM
+    (SELECT doc_id, list_reduce(list_transform(atoms, lambda t: {{'c': CAST([] AS VARCHAR[]), 'k': [t]}}), lambda a, x: {step}) AS r FROM (SELECT doc_id, {atoms} AS atoms FROM documents WHERE {trimmed('text')} <> '') WHERE len(atoms) > 0)))"""
+
+
+SENTENCES = f"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])({WHITE}|$)', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda t: {trimmed('t')}), lambda t: t <> '')"
+
+
+@query(packed_sql(f"flatten(list_transform({SENTENCES}, lambda s: CASE WHEN length(s) > {SIZE} THEN {cut_by_force('s')} ELSE [s] END))"))
 def h_chunk_sentence(s, d):
-    return chunk.chunk_rows(spread(table(s, d, "documents")), "doc_id", "text", "sentence")
+    return chunk.chunk_rows(spread(table(s, d, "documents")), "doc_id", "text", "sentence", SIZE, OVERLAP)
 
 
-@query()
+@query(packed_sql(parts_sql("text", ["chr(10) || chr(10)", "chr(10)", "'. '", "' '"])))
 def h_chunk_recursive(s, d):
-    return chunk.chunk_rows(spread(table(s, d, "documents")), "doc_id", "text", "recursive")
+    return chunk.chunk_rows(spread(table(s, d, "documents")), "doc_id", "text", "recursive", SIZE, OVERLAP)
 
 
 @query("SELECT event_id, event_id % 2 = 0 AS even FROM events")
