@@ -404,6 +404,20 @@ def test_snapshots(spark, tmp_path):
     assert cache.columnarize("x", df, ["category"]) is cache.columnarize("x", df, ["category"]) and cache.columnarize("y", df, ["amount"]).count() == 3
 
 
+def test_inserted_rows(spark, tmp_path):
+    root = str(tmp_path / "r")
+    with pytest.raises(FileNotFoundError):
+        lakehouse.read_inserted(spark, root)
+    assert lakehouse.insert_rows(spark.range(3), root) == 3 and lakehouse.insert_rows(spark.range(3, 5), root) == 2
+    bad = spark.range(1).select(F.raise_error(F.lit("no")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="no"):
+        lakehouse.insert_rows(bad, root)
+    assert lakehouse.insert_rows(spark.range(1).withColumn("x", F.lit("new")), root) == 1
+    rows = lakehouse.read_inserted(spark, root)
+    assert sorted((r.id, r.x) for r in rows.where("x is null").collect()) == [(i, None) for i in range(5)] and rows.count() == 6
+    assert lakehouse.insert_rows(spark.range(0), root) == 0
+
+
 def test_import_vectors(spark, tmp_path):
     df = spark.createDataFrame([('[{"id": 1, "values": [1, 2]}, {"id": "b", "values": [3], "metadata": {"k": 1}}]',), ("[]",)], "j string")
     assert lakehouse.import_vectors(df, "j", str(tmp_path / "t")) == 2

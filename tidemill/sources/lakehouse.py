@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.semantics import InvalidParameter
-from tidemill.operators.change_feed import publish, read_current
+from tidemill.operators.change_feed import current_version, publish, read_current
 
 
 class NoSnapshot(LookupError):
@@ -38,6 +39,25 @@ def write_parquet(df: DataFrame, root: str) -> int:
     return read_current(df.sparkSession, root).count()
 
 
+def insert_rows(df: DataFrame, root: str) -> int:
+    """Append rows to the relation under ``root``, which is made if it is not there; returns how many.
+
+    The rows go to a folder of their own, and the next version of the list of folders makes them visible at
+    once, so readers see all of an insert or none and a job that fails leaves nothing to read.
+    """
+    spark = df.sparkSession
+    folder = f"{root}/data/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    before = [] if current_version(spark, root) is None else [r.folder for r in read_current(spark, root).collect()]
+    publish(spark.createDataFrame([(f,) for f in [*before, folder]], "folder string").coalesce(1), root)
+    return spark.read.parquet(folder).count()
+
+
+def read_inserted(spark: SparkSession, root: str) -> DataFrame:
+    """All rows inserted so far; columns that came later are null in earlier rows."""
+    return spark.read.option("mergeSchema", "true").parquet(*[r.folder for r in read_current(spark, root).collect()])
+
+
 def scan(spark: SparkSession, path: str, columns: list[str] | None = None, where: Column | None = None) -> DataFrame:
     """Projected and filtered scan; both reach the Parquet reader."""
     df = spark.read.parquet(path)
