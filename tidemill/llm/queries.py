@@ -79,6 +79,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity_pairs(cut(p5_entities(spark, sf_dir)))
 
 
+def p5_identical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether all nodes of a workspace with the very same name are one entity."""
+    names = table(spark, sf_dir, "graph_nodes").select("workspace_id", "id", F.when(F.length(F.trim("name")) > 0, F.col("name")).otherwise(F.col("normalized_name")).alias("name"))
+    both = names.join(p5_entities(spark, sf_dir), ["workspace_id", "id"])
+    return both.groupBy("workspace_id", "name").agg((F.count_distinct("entity") == 1).alias("one"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", vocabulary_path(folder=TOKENIZERS))
 
@@ -111,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": p4_found,
         "p5_entities": p5_entities,
         "p5_found": p5_found,
+        "p5_identical": p5_identical,
         "p7_ids": p7_ids,
         "p7_decoded": p7_decoded,
         "p8_found": p8_found,
@@ -146,6 +154,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_recall": f"SELECT count(DISTINCT id) AS queries, true AS reaches FROM ({USABLE}) WHERE id % 100 = 0",
         "p2_rebuilt": "SELECT chunk_id, chunk_text AS rebuilt, true AS numbered, true AS within_limit, true AS shared FROM edocs_chunks WHERE length(chunk_text) > 0",
         "p4_found": LEXIMIN,
+        "p5_identical": "SELECT DISTINCT workspace_id, CASE WHEN length(trim(name)) > 0 THEN name ELSE normalized_name END AS name, true AS one FROM graph_nodes WHERE length(trim(CASE WHEN length(trim(name)) > 0 THEN name ELSE normalized_name END)) > 0 AND workspace_id IS NOT NULL",
         "p8_found": LEAKS,
         "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }
