@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tidemill.llm.similar import build_plan, mutual_pairs, prepare, rotation, similar_vectors
+from tidemill.llm.similar import TABLES, VISITS, Router, build_plan, mutual_pairs, prepare, rotation, similar_vectors
 
 SCHEMA = "chunk_id long, embedding array<float>, id long, vec string"
 
@@ -125,3 +125,18 @@ def test_more_neighbours_than_a_bucket_keeps(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(9).normal(size=(120, 16)))]
     got, want = found(similar_vectors(table(spark, rows), "chunk_id", "embedding", 16, 40)), brute(rows, 40, 16)
     assert sum(len(set(got[i]) & set(want[i])) for i in want) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_every_row_gets_the_best_of_all_it_meets(spark):
+    """One row in a hundred has no near neighbour; what the others reach is no bound for it."""
+    rng = np.random.default_rng(10)
+    groups = np.repeat(rng.normal(size=(330, 64)), 6, axis=0) + 0.05 * rng.normal(size=(1980, 64))
+    x = np.concatenate([groups, rng.normal(size=(20, 64))])
+    got = found(similar_vectors(table(spark, [(i, v.tolist()) for i, v in enumerate(x)]), "chunk_id", "embedding", 64, 5))
+    x = x.astype("f4").astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    enters = np.zeros((len(x), 2 * 64 * TABLES), bool)
+    enters[Router(64, TABLES, VISITS, 42, {})(x.astype("f4"))[:2]] = True
+    cosines = np.where(enters.astype("f4") @ enters.T.astype("f4") > 0, np.round(x @ x.T, 9), -2)
+    np.fill_diagonal(cosines, -2)
+    assert all(got[i] == np.lexsort((np.arange(len(x)), -c))[:5].tolist() for i, c in enumerate(cosines))

@@ -39,8 +39,6 @@ PACK_BYTES = 64 << 20
 SAME_DIRECTION = 8e-6
 #: Rows held against a whole bucket at once.
 WIDE_ROWS = 256
-#: Vectors whose k-th similarity is measured against all rows to place the emission threshold.
-SAMPLE = 256
 #: Copy groups above the k+1 limit that may be broadcast (about 100 bytes each).
 BROADCAST_GROUPS = 50_000
 TILE = 1024
@@ -109,15 +107,14 @@ class Router:
         self.dims, self.visits, self.blocks = dims, visits, blocks
         self.base = [rotation(dims, seed + t) for t in range(tables)]
 
-    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row numbers, bucket keys, and whether the bucket is the row's closest."""
+    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and bucket keys."""
         if not len(x):
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         close = axes(x, self.base)
         n, c = len(x), min(self.visits, close.shape[1])
         top = np.argpartition(-close, c - 1, axis=1)[:, :c] if c < close.shape[1] else np.tile(np.arange(c), (n, 1))
-        first = (top == close.argmax(axis=1)[:, None]).ravel()
-        return np.repeat(np.arange(n), c), top.ravel().astype(np.int64), first
+        return np.repeat(np.arange(n), c), top.ravel().astype(np.int64)
 
 
 def vectors_of(batch: pa.RecordBatch, name: str, dims: int, kind=np.float32) -> np.ndarray:
@@ -127,16 +124,16 @@ def vectors_of(batch: pa.RecordBatch, name: str, dims: int, kind=np.float32) ->
 def counts(router: Router):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, keys, _ = router(vectors_of(batch, "vec", router.dims))
+            _, keys = router(vectors_of(batch, "vec", router.dims))
             k, n = np.unique(keys, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], names=["key", "n"])
 
     return run
 
 
-def packed(rows: list[tuple[int, int, int, bytes, bytes, bytes]]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=["key", "block", "side", "ids", "vecs", "own"])
+def packed(rows: list[tuple[int, int, int, bytes, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=["key", "block", "side", "ids", "vecs"])
 
 
 def pack(router: Router):
@@ -147,22 +144,22 @@ def pack(router: Router):
             x = vectors_of(batch, "vec", router.dims)
             ids = batch.column("id").to_numpy()
             half = x.astype(np.float16)
-            rows, keys, first = router(x)
+            rows, keys = router(x)
             order = np.argsort(keys, kind="stable")
-            rows, keys, first = rows[order], keys[order], first[order]
+            rows, keys = rows[order], keys[order]
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-            out: list[tuple[int, int, int, bytes, bytes, bytes]] = []
+            out: list[tuple[int, int, int, bytes, bytes]] = []
             held = 0
             for a, b in zip(starts, np.r_[starts[1:], len(keys)]):
-                k, m, own = int(keys[a]), router.blocks.get(int(keys[a]), 1), first[a:b]
+                k, m = int(keys[a]), router.blocks.get(int(keys[a]), 1)
                 where = ids[rows[a:b]] % m  # the block of a row; its pairs of blocks are separate groups
                 for i in range(m):
                     for j in range(i, m):
                         for side, pick in ((0, where == i), (1, where == j)) if i != j else ((0, where == i),):
                             if pick.any():
                                 r = rows[a:b][pick]
-                                out.append((k, i * m + j, side, ids[r].tobytes(), half[r].tobytes(), own[pick].tobytes()))
-                                held += len(r) * (9 + 2 * router.dims)
+                                out.append((k, i * m + j, side, ids[r].tobytes(), half[r].tobytes()))
+                                held += len(r) * (8 + 2 * router.dims)
                             if held > PACK_BYTES:
                                 yield packed(out)
                                 out, held = [], 0
@@ -175,11 +172,12 @@ def best_of(i: np.ndarray, j: np.ndarray, s: np.ndarray, item: np.ndarray, k: in
     """Of each i the candidates that may be among its ``k`` best items whatever the error of the scores, and the i with more than ``kept`` of them, whose candidates are left out."""
     if not len(i):
         return i, j, s, i
-    order = np.lexsort((-s, item[j], i))
-    i, j, s = i[order], j[order], s[order]
-    once = np.r_[True, (i[1:] != i[:-1]) | (item[j[1:]] != item[j[:-1]])]
-    i, j, s = i[once], j[once], s[once]
-    order = np.lexsort((-s, i))
+    if item[-1] + 1 < len(item):  # some items have several vectors
+        order = np.lexsort((-s, item[j], i))
+        i, j, s = i[order], j[order], s[order]
+        once = np.r_[True, (i[1:] != i[:-1]) | (item[j[1:]] != item[j[:-1]])]
+        i, j, s = i[once], j[once], s[once]
+    order = np.argsort((i.astype(np.int64) << 32) + ((2 - s.astype(np.float64)) * 2**29).astype(np.int64))  # by i, best scores first
     i, j, s = i[order], j[order], s[order]
     start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
     size = np.diff(np.r_[start, len(i)])
@@ -190,11 +188,35 @@ def best_of(i: np.ndarray, j: np.ndarray, s: np.ndarray, item: np.ndarray, k: in
     return i[keep], j[keep], s[keep], i[start][over]
 
 
-FOUND = "a long, b long, s float, key long, block int, side int, dense boolean"
+NEAR = "a long, b array<long>, s array<float>"
+FOUND = f"{NEAR}, mark struct<key: long, block: int, side: int, dense: boolean>"
+
+
+def listed(i: np.ndarray, j: np.ndarray, s: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Rows of equal neighbouring i as one, with lists of their j and s."""
+    start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.empty(0, np.int64)
+    at = pa.array(np.r_[start, len(i)].astype(np.int32))
+    return pa.array(i[start], pa.int64()), pa.ListArray.from_arrays(at, pa.array(j, pa.int64())), pa.ListArray.from_arrays(at, pa.array(s.astype(np.float32)))
 
 
-def search(dims: int, threshold: float, k: int, fill: bool):
-    """Score all pairs of a bucket tile by tile; emit both directions of the pairs over the threshold, and with ``fill`` the k best of the rows for which this is the closest bucket.
+def floors(x: np.ndarray, side: np.ndarray | None, item: np.ndarray, k: int) -> np.ndarray:
+    """What a score must reach to be among the ``k`` best of each row, by the items of its own tile; a bound, since more items only raise it."""
+    low = np.full(len(x), -2, np.float32)
+    for a in range(0, len(x), TILE):
+        xa, ia = x[a : a + TILE], item[a : a + TILE]
+        s = xa @ xa.T
+        s[ia[:, None] == ia[None, :]] = -2
+        s[:, 1:][:, ia[1:] == ia[:-1]] = -2  # one vector of an item
+        if side is not None:
+            sa = side[a : a + TILE]
+            s[sa[:, None] == sa[None, :]] = -2
+        if len(xa) >= k:
+            low[a : a + TILE] = np.partition(s, len(xa) - k, axis=1)[:, len(xa) - k] - 2 * SLACK
+    return low
+
+
+def search(dims: int, threshold: float | None, k: int):
+    """Score all pairs of a bucket tile by tile; emit the k best of every row there, or of the pairs over the threshold if there is one.
 
     All candidates within the error of the k-th score are emitted. Rows with more than ``kept`` of them are
     marked as dense, and with their candidates (rows without b) left to ``dense_search``.
@@ -206,18 +228,21 @@ def search(dims: int, threshold: float, k: int, fill: bool):
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         x = np.frombuffer(b"".join(group["vecs"].to_pylist()), np.float16).reshape(-1, dims).astype(np.float32)[order]
-        own = np.frombuffer(b"".join(group["own"].to_pylist()), bool)[order]
         side = np.repeat(group["side"].to_numpy(), sizes)[order]
         two = bool((side == 1).any())
         new = np.r_[True, ids[1:] != ids[:-1]]
         at, item = np.flatnonzero(new), np.cumsum(new) - 1
-        whole = own.copy() if fill else np.zeros(len(ids), bool)  # rows held against the whole bucket below
+        whole = np.zeros(len(ids), bool)  # rows held against the whole bucket below
+        low = floors(x, side if two else None, item, k) if threshold is None else np.full(len(ids), threshold, np.float32)
         met: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
 
         def reduced() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             i, j, v, over = best_of(*map(np.concatenate, zip(*met)), item, k)
             whole[over] = True
+            start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]][: len(i)])
+            full = start[np.diff(np.r_[start, len(i)]) >= k]  # a row's candidates are in order of their scores
+            low[i[full]] = np.maximum(low[i[full]], v[full + k - 1] - 2 * SLACK)
             return i, j, v
 
         starts = range(0, len(ids), TILE)
@@ -227,13 +252,13 @@ def search(dims: int, threshold: float, k: int, fill: bool):
                 if b < a or whole[a : a + TILE].all() and whole[b : b + TILE].all():
                     continue
                 s = xa @ x[b : b + TILE].T
-                hit = np.flatnonzero(s > threshold)
+                hit = np.flatnonzero(s >= (np.minimum.outer(low[a : a + TILE], low[b : b + TILE]) if threshold is None else threshold))
                 i, j = hit // s.shape[1] + a, hit % s.shape[1] + b
                 v = s.ravel()[hit]
                 ok = (ids[i] != ids[j]) & ((side[i] != side[j]) if two else (i < j))
                 i, j, v = i[ok], j[ok], v[ok]
                 i, j, v = np.r_[i, j], np.r_[j, i], np.r_[v, v]
-                ok = ~whole[i]
+                ok = ~whole[i] & (v >= low[i])
                 if ok.any():
                     met.append((i[ok], j[ok], v[ok]))
                     held += len(met[-1][0])
@@ -250,8 +275,7 @@ def search(dims: int, threshold: float, k: int, fill: bool):
             s = best_by_item(x[r] @ x.T, r, side if two else None, at, item)
             c = min(k, s.shape[1])
             kth = np.partition(s, s.shape[1] - c, axis=1)[:, s.shape[1] - c]
-            floor = np.where(own[r] & fill, -1.5, threshold)
-            good = (s >= kth[:, None] - 2 * SLACK) & (s > floor[:, None])
+            good = (s >= kth[:, None] - 2 * SLACK) & (s > (-1.5 if threshold is None else threshold))
             over = good.sum(axis=1) > kept(k)
             dense[item[r[over]]] = True
             needed |= good[over].any(axis=0)
@@ -259,17 +283,15 @@ def search(dims: int, threshold: float, k: int, fill: bool):
             out.append((ids[r[i]], ids[at[j]], s[i, j]))
         i, j, v = map(np.concatenate, zip(*out))
         m = np.flatnonzero(dense | needed)
-        n, z = len(i), len(m)
+        rows, near, scores = listed(i, j, v)
+        z = len(m)
         key, block = group["key"][0].as_py(), group["block"][0].as_py()
-        none = lambda n, kind: pa.nulls(n, kind)
+        mark = pa.StructArray.from_arrays([pa.array([key] * z, pa.int64()), pa.array([block] * z, pa.int32()), pa.array(side[at[m]], pa.int32()), pa.array(dense[m])], names=["key", "block", "side", "dense"])
         return pa.table({
-            "a": np.r_[i, ids[at[m]]],
-            "b": pa.concat_arrays([pa.array(j, pa.int64()), none(z, pa.int64())]),
-            "s": pa.concat_arrays([pa.array(v.astype(np.float32)), none(z, pa.float32())]),
-            "key": pa.concat_arrays([none(n, pa.int64()), pa.array([key] * z, pa.int64())]),
-            "block": pa.concat_arrays([none(n, pa.int32()), pa.array([block] * z, pa.int32())]),
-            "side": pa.concat_arrays([none(n, pa.int32()), pa.array(side[at[m]].astype(np.int32))]),
-            "dense": pa.concat_arrays([none(n, pa.bool_()), pa.array(dense[m])]),
+            "a": pa.concat_arrays([rows, pa.array(ids[at[m]], pa.int64())]),
+            "b": pa.concat_arrays([near, pa.nulls(z, near.type)]),
+            "s": pa.concat_arrays([scores, pa.nulls(z, scores.type)]),
+            "mark": pa.concat_arrays([pa.nulls(len(rows), mark.type), mark]),
         })
 
     return run
@@ -308,8 +330,7 @@ def dense_search(dims: int, k: int):
                 j = np.flatnonzero((s[n] >= kth[n]) & (s[n] > -1.5))
                 j = j[np.argsort(-s[n, j], kind="stable")[:k]]
                 out.append((np.full(len(j), ids[own]), ids[at[j]], s[n, j]))
-        a, b, s = map(np.concatenate, zip(*out))
-        return pa.table({"a": a, "b": b, "s": s.astype(np.float32)})
+        return pa.table(dict(zip("abs", listed(*map(np.concatenate, zip(*out))))))
 
     return run
 
@@ -327,28 +348,6 @@ def exact(dims: int):
     return run
 
 
-def emission_threshold(searched: DataFrame, dims: int, k: int) -> float:
-    """A similarity that the k-th neighbour of nearly all vectors exceeds, from ``SAMPLE`` vectors held against all rows."""
-    rows = searched.select("id", "vec", F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).collect()
-    if not rows:
-        return -1.0
-    ids, q = np.array([r.id for r in rows]), np.frombuffer(b"".join(bytes(r.vec) for r in rows), np.float32).reshape(-1, dims)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = np.full((len(q), k), -1.0, np.float32)
-        for batch in batches:
-            s = q @ vectors_of(batch, "vec", dims).T
-            s[ids[:, None] == batch.column("id").to_numpy()[None, :]] = -1
-            both = np.concatenate([best, s], axis=1)
-            best = -np.partition(-both, k - 1, axis=1)[:, :k]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q)), k)), pa.array(best.ravel())], names=["q", "s"])
-
-    w = Window.partitionBy("q").orderBy(F.desc("s"))
-    kth = searched.select("id", "vec").mapInArrow(run, "q long, s float").withColumn("r", F.row_number().over(w)).where(F.col("r") == k)
-    values = np.array([r.s for r in kth.select("s").collect()], np.float64)  # one value for each of the SAMPLE vectors
-    return float(np.quantile(values, 0.02) - 0.02) if len(values) else -1.0
-
-
 def build_plan(searched: DataFrame, dims: int, tables: int, visits: int, limit: int, seed: int) -> Router:
     """Count bucket sizes and split what is too large into blocks; the driver holds one number a bucket."""
     router = Router(dims, tables, visits, seed, {})
@@ -386,21 +385,21 @@ def similar_vectors(
     if visits is None:
         visits = CLOSE_VISITS if min_similarity is not None and min_similarity >= CLOSE else VISITS
     router = build_plan(searched, dims, tables, visits, bucket_limit, seed)
-    fill = min_similarity is None
-    threshold = emission_threshold(searched, dims, k) if fill else min_similarity - SLACK
+    threshold = None if min_similarity is None else min_similarity - SLACK
     found = cut(
         searched.select("id", "vec")
-        .mapInArrow(pack(router), "key long, block int, side int, ids binary, vecs binary, own binary")
+        .mapInArrow(pack(router), "key long, block int, side int, ids binary, vecs binary")
         .groupBy("key", "block")
-        .applyInArrow(search(dims, threshold, k, fill), FOUND)
+        .applyInArrow(search(dims, threshold, k), FOUND)
     )
     valid = rows.where((F.size("embedding") == dims) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
-    marked_rows, found = found.where("b is null"), found.where("b is not null").select("a", "b", "s")
+    marked_rows, found = found.where("mark is not null").select("a", "mark.*"), found.where("mark is null").select("a", "b", "s")
     if not marked_rows.isEmpty():
         held = marked_rows.join(valid.select(F.col("id").alias("a"), F.col("embedding").alias("v")), "a").select("key", "block", "side", "dense", "a", "v")
-        found = found.unionByName(held.groupBy("key", "block").applyInArrow(dense_search(dims, k), "a long, b long, s float"))
+        found = found.unionByName(held.groupBy("key", "block").applyInArrow(dense_search(dims, k), NEAR))
     w = Window.partitionBy("a").orderBy(F.desc("s"), "b")
-    near = found.repartition("a").groupBy("a", "b").agg(F.max("s").alias("s")).withColumn("r", F.row_number().over(w))
+    each = found.repartition("a").select("a", F.inline(F.arrays_zip("b", "s")))
+    near = each.groupBy("a", "b").agg(F.max("s").alias("s")).withColumn("r", F.row_number().over(w))
     # only scores within the error of the k-th one can change places in the rerank
     kth = F.max(F.when(F.col("r") == k, F.col("s"))).over(Window.partitionBy("a"))
     near = near.withColumn("kth", kth).where(F.col("kth").isNull() | (F.col("s") >= F.col("kth") - 2 * SLACK))
