@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tidemill.llm.names import abbreviates, asked, entity_pairs, name_entities, near, spellings_of, words
+from tidemill.llm.names import ALIKE, CROWD, VOTE, abbreviates, asked, entity_pairs, evidence, learned_variants, name_entities, near, rivals, shared_places, spellings_of, voters, words
 
 
 def entities(spark, names):
@@ -110,3 +110,35 @@ def test_edge_rows(spark):
     assert pairs == {(0, 1), (0, 8), (1, 8)}
     assert {r.id for r in out.collect()} == {0, 1, 2, 6, 7, 8}
     assert entities(spark, []).count() == 0
+
+
+def test_places_of_many_words_are_evidence_too(spark):
+    """Tars shares two places with Tarsevil alone, too few of its 22 names, and four with 29 others as well."""
+    forms = [(f"{root} {w}", n) for root in ("lira", "moku") for w, n in (("tars", 1), ("tarsevil", 100))]
+    forms += [(" ".join(sorted((root, w))), n) for root in ("adorn", "bexal", "cirro", "dulma") for w, n in (("tars", 1), ("tarsevil", 100), *((f"first{i}", 1) for i in range(29)))]
+    forms += [(" ".join(sorted((f"single{i}", "tars"))), 1) for i in range(16)]
+    df = spark.createDataFrame([("w", f, n) for f, n in forms], "ws string, form string, n long")
+    assert ("tars", "tarsevil") in {(r.w, r.to) for r in learned_variants(df).collect()}
+
+
+def test_no_pair_is_lost_and_all_its_places_count(spark):
+    rng = random.Random(5)
+    sizes = [rng.choice((2, 2, 2, 3, 4, 6, 7, 9, 30)) for _ in range(400)]
+    held = {p: (rng.sample(range(60), n), rng.randrange(20)) for p, n in enumerate(sizes)}
+    df = [w % 15 for w in range(60)]
+    places = shared_places(spark.createDataFrame([(p, (f"w{w}", df[w]), least) for p, (ws, least) in held.items() for w in ws], "place long, w struct<w: string, df: long>, least long"))
+    want, votes = {}, {}
+    for ws, least in held.values():
+        r = len(ws) - 1
+        vote = round(VOTE * min(1, CROWD / r) ** 2)
+        for a in ws:
+            votes[f"w{a}"] = votes.get(f"w{a}", 0) + r * vote
+            for b in ws:
+                if a != b:
+                    e, rooted = want.setdefault((f"w{a}", f"w{b}"), [0] * 4), least < min(df[a], df[b])
+                    e[:] = [x + y for x, y in zip(e, (1, vote, rooted, rooted * vote))]
+    pairs = rivals(places)
+    got = {(r.a, r.b): [r.s, r.v, r.rooted, r.rooted_v] for r in evidence(places, pairs).collect()}
+    assert {r.a: r.votes for r in voters(places).collect()} == votes
+    assert got.keys() >= {p for p, e in want.items() if e[1] / votes[p[0]] >= ALIKE[1]} and len(got) < len(want)
+    assert all(e == want[p] for p, e in got.items())
