@@ -249,6 +249,28 @@ def test_hubs_are_dealt_out(spark, tmp_path):
     assert graph.drop_graph(spark, folder) and not graph.drop_graph(spark, folder)
 
 
+def folder_bytes(spark):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
+def test_many_sets_take_bits(spark):
+    """2,100 sets (two blocks of words) that reach 400 nodes by a hub: the 840,000 pairs are not written on the way."""
+    star = graph.adjacency(spark.createDataFrame([(0, i) for i in range(1, 400)], "s long, d long"), "s", "d")
+    start = spark.range(2100).selectExpr("concat('set', id) AS set_id", "id % 399 + 1 AS node")
+    before = folder_bytes(spark)
+    got = graph.expand_multi(star, start, 2)
+    assert folder_bytes(spark) - before < 5_000_000
+    assert got.columns == ["set_id", "node"] and got.distinct().count() == got.count() == 2100 * 400
+    # nothing sent: shuffled joins, with the hub's arcs salted
+    few = sorted(map(tuple, graph.expand_multi(star, start.where("node = 3"), 2, 100, 0).collect()))
+    assert few == sorted((f"set{i}", x) for i in range(2, 2100, 399) for x in range(400))
+    line = graph.adjacency(spark.createDataFrame([(i, i + 1) for i in range(2600)], "s long, d long"), "s", "d")
+    rows = graph.expand_multi(line, start, 2, sent=0).collect()
+    want = {(f"set{i}", x) for i in range(2100) for x in range(max(0, i % 399 - 1), i % 399 + 4)}
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+
+
 def test_ppr(spark, g):
     adj = graph.adjacency(g, "s", "d")
     a = np.zeros((5, 5))

@@ -2,9 +2,11 @@
 
 Frontiers are DataFrames; every hop joins the frontier with the adjacency, keeps new nodes and is cut to
 the shared folder, so lineage stays short and a lost executor costs one hop. The adjacency of a built graph
-is written once, sorted by source, and read by every later traversal until it is built again. The arcs of
-a hub are dealt out over as many salts as it has stretches of ``ARCS_A_TASK``, and frontier rows that reach
-a hub are repeated for its salts, so no task gets a hub as a whole.
+is written once, sorted by source, and read by every later traversal until it is built again. Sets that are
+expanded together are bits of a node's row and merged by bitwise or; the pairs of set and node are made when
+the result is read. A small frontier is sent to all tasks. For a larger one, the arcs of a hub are dealt out
+over as many salts as it has stretches of ``ARCS_A_TASK``, and frontier rows that reach a hub are repeated
+for its salts, so no task gets a hub as a whole.
 """
 
 from __future__ import annotations
@@ -21,6 +23,14 @@ from tidemill.session import cut
 MAX_NODE = 2**32 - 1
 #: Arcs of one node that a task may get; a node with more is a hub.
 ARCS_A_TASK = 50_000
+#: Words of 64 sets in a row of bits; more sets take several rows (blocks) a node.
+WORDS = 32
+#: Sets that a task may number.
+SETS_A_TASK = 1_000_000
+#: Rows (set, node) that a task gives out, nearly.
+ROWS_A_TASK = 2_000_000
+#: Bytes of a table that is sent to all tasks; a larger one is shuffled. Beside its words a row takes ROW_BYTES, a set SET_BYTES.
+SENT, ROW_BYTES, SET_BYTES = 64 << 20, 64, 64
 
 
 def adjacency(edges: DataFrame, src: str, dst: str) -> DataFrame:
@@ -67,25 +77,61 @@ def along(front: DataFrame, node: str, arcs: DataFrame, hubs: DataFrame | None)
     return spread.join(arcs.withColumnRenamed("src", node), [node, "salt"]).drop("salt")
 
 
-def expand_multi(adj: DataFrame, seeds: DataFrame, max_hops: int, arcs_a_task: int = ARCS_A_TASK) -> DataFrame:
+def numbered_sets(start: DataFrame) -> tuple[DataFrame, int]:
+    """(set_id, word, pos): each set's place in words of 64 sets, written once; and the number of sets."""
+    ids = start.select("set_id").distinct()
+    n = ids.count()
+    i = ids.coalesce(n // SETS_A_TASK + 1).withColumn("i", F.monotonically_increasing_id())
+    return cut(i.select("set_id", F.shiftright("i", 6).alias("word"), F.col("i").bitwiseAND(63).cast("int").alias("pos"))), n
+
+
+def members(seen: DataFrame, sets: DataFrame, words: list[str], send: bool) -> DataFrame:
+    """The rows of bits as (set_id, node); tasks give out about ``ROWS_A_TASK`` rows each."""
+    total = seen.agg(F.sum(sum((F.bit_count(w) for w in words), F.lit(0)).cast("long"))).first()[0] or 0
+    if total > ROWS_A_TASK:
+        seen = seen.repartition(total // ROWS_A_TASK + 1, "block", "node")
+    bits = F.explode(F.array(*(F.struct((F.col("block") * len(words) + i).alias("word"), F.col(w).alias("bits")) for i, w in enumerate(words))))
+    own = sets.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "set_id"))), lambda x: x["set_id"]).alias("sets"))
+    held = seen.select("node", bits.alias("b")).select("node", "b.*").where("bits != 0").join(F.broadcast(own) if send else own, "word")
+    return held.select("node", "bits", F.posexplode("sets").alias("pos", "set_id")).where("getbit(bits, pos) = 1").select("set_id", "node")
+
+
+def expand_multi(adj: DataFrame, seeds: DataFrame, max_hops: int, arcs_a_task: int = ARCS_A_TASK, sent: int = SENT) -> DataFrame:
     """(set_id, node) reached within ``max_hops`` of each set's seeds, seeds included.
 
-    Seeds that are null or unknown to the graph are skipped; negative hops count as none.
+    Seeds that are null or unknown to the graph are skipped; negative hops count as none. Frontiers and sets
+    of up to ``sent`` bytes are sent to all tasks.
     """
     # an id below the largest node is in range even if isolated, as node ids are dense
     top = adj.agg(F.max("src").alias("top"))
     start = seeds.select("set_id", F.col("node").cast("long").alias("node")).where("set_id is not null and node is not null").distinct()
-    start = start.crossJoin(F.broadcast(top)).where((F.col("node") >= 0) & (F.col("node") <= F.col("top"))).drop("top")
-    seen = frontier = cut(start)
-    if max_hops > 0:
-        arcs, hubs = salted_arcs(adj.select("src", "dst").distinct(), arcs_a_task)
-    for _ in range(max(0, max_hops)):
-        step = along(frontier, "node", arcs, hubs).select("set_id", F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen, ["set_id", "node"], "left_anti"))
-        if frontier.isEmpty():
+    start = cut(start.crossJoin(F.broadcast(top)).where((F.col("node") >= 0) & (F.col("node") <= F.col("top"))).drop("top"))
+    if max_hops <= 0 or start.isEmpty():
+        return start
+    sets, count = numbered_sets(start)
+    send, n = count * SET_BYTES <= sent, min(WORDS, -(-count // 64))
+    words = [f"w{i}" for i in range(n)]
+    merged = [F.bit_or(w).alias(w) for w in words]
+    bit = [F.when(F.col("word") % n == i, F.expr("shiftleft(1L, pos)")).otherwise(0).alias(w) for i, w in enumerate(words)]
+    numbered = start.join(F.broadcast(sets) if send else sets, "set_id")
+    seen = frontier = cut(numbered.select(F.expr(f"word div {n}").alias("block"), "node", *bit).groupBy("block", "node").agg(*merged))
+    salted = None
+    for left in reversed(range(max_hops)):
+        if frontier.count() * (ROW_BYTES + 8 * n) <= sent:
+            step = adj.join(F.broadcast(frontier.withColumnRenamed("node", "src")), "src")
+        else:
+            salted = salted or salted_arcs(adj.select("src", "dst").distinct(), arcs_a_task)
+            step = along(frontier, "node", *salted)
+        reached = cut(seen.unionByName(step.select("block", F.col("dst").alias("node"), *words)).groupBy("block", "node").agg(*merged))
+        if left:
+            before = reached.join(seen.select("block", "node", *(F.col(w).alias(f"old_{w}") for w in words)), ["block", "node"], "left")
+            # a condition on the new words instead would double the optimizer's constraints with every word
+            grown = before.where(" or ".join(f"{w} != coalesce(old_{w}, 0)" for w in words))
+            frontier = cut(grown.select("block", "node", *(F.expr(f"{w} & ~coalesce(old_{w}, 0)").alias(w) for w in words)))
+        seen = reached
+        if left and frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+    return members(seen, sets, words, send)
 
 
 def expand(adj: DataFrame, seeds: list[int], max_hops: int) -> DataFrame:
